@@ -2,15 +2,15 @@
 
 The distinct words of a batch form a trie over their symbols. A depth-first walk carries, for each
 trie node, the last token of the encoding of the prefix that the node spells. Of all tokens that
-are suffixes of the prefix exactly one may follow the encoding of what stands before it, namely the
-one that makes, with its left neighbour, a pair that the merges would leave alone. So each node
-costs a few lookups, a prefix that many words share is encoded once, and a word's tokens are read
+are suffixes of the prefix (an automaton over all tokens lists them) exactly one may follow the
+encoding of what stands before it, namely the one that makes, with its left neighbour, a pair that
+the merges would leave alone. So each node costs a few lookups, a prefix that many words share is encoded once, and a word's tokens are read
 backwards from its leaf. The trie is walked in its sorted form: in sorted order the nodes that two
 neighbouring words share are their common prefix, and the stack holds the states of one path.
 
-Text is cut as the tokenizer file says. A chunk (run of non-blank ASCII) is encoded alone; all
-steps of the file act inside such chunks. Chunks outside Latin letters go through the file's own
-normalizer and splitter, so that rare characters follow the library.
+Text is cut as the tokenizer file says. All steps of the file act inside runs of non-blanks. Runs
+beyond ASCII and common Latin letters go through the file's own normalizer and splitter, so that
+rare characters follow the library; their words take the same walk.
 
 Null text counts as empty: no tokens. Empty tables give empty results. Rows repeat as they come.
 Texts of any length are handled whole, one slice of rows at a time; the word cache is bounded.
@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,13 @@ from .common import _SPACES, slices
 END = "</w>"
 #: Code-point shift that marks a word's last symbol.
 FINAL = 0x20000
-#: Distinct chunks a worker remembers before it starts anew.
-CACHE_CHUNKS = 400_000
-CACHE_PAIRS = 2_000_000
+#: Stands for the last token of the empty prefix.
+START = (1 << 20) - 1
+#: Distinct words a worker remembers before it forgets the rare ones, and pairs before it starts anew.
+CACHE_WORDS = 500_000
+CACHE_PAIRS = 1_000_000
+#: Letters that, with ASCII, the fast path takes: all are letters, and lower-case one to one.
+PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-įĹ-ňŊ-ž"
 
 
 def byte_symbols() -> list[str]:
@@ -72,19 +76,19 @@ class TrieBpe:
         #: Tokens as runs of symbols, one character each.
         self.tokens = {self._symbols(t): i for t, i in vocab.items() if t not in special}
         self.runs = {i: t for t, i in self.tokens.items()}
-        self.longest = max(map(len, self.tokens))
         self.rank: dict[tuple[str, str], int] = {}
         for r, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.rank[self._symbols(left), self._symbols(right)] = r
         self.bytes = byte_symbols()
-        import regex
-
         (cut,) = (p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.cut = regex.compile(cut)
-        self.plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-İĹ-ňŊ-ž0-9!-~]*\Z")
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        # Over plain characters the classes of the file's pattern are these ranges.
+        self.cut = re.compile(cut.replace(r"\p{L}", PLAIN_LETTERS).replace(r"\p{N}", "0-9"))
+        self.plain = re.compile(f"[\t-\r -~{PLAIN_LETTERS}]*")
+        self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
+        self.pairs: dict[int, bool] = {}
+        self.state_of: dict[str, int] = {"": 0}
+        self.spelled, self.moves, self.ends = [""], [{}], [()]
         self.reset()
 
     @staticmethod
@@ -95,34 +99,40 @@ class TrieBpe:
         return token
 
     def reset(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-        self.starts: list[int] = [0]
-
-    # -- words of a chunk ---------------------------------------------------------------------
-
-    def words(self, chunk: str) -> list[str | int]:
-        """The chunk's words as runs of symbols; special tokens as ids."""
-        out: list[str | int] = []
-        parts = self.special_re.split(chunk) if self.special_re and "<|" in chunk else [chunk]
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self._plain_words(part) if self.plain.match(part) else self._library_words(part)
+        """Forget all words but those met more than once since the last time."""
+        known = getattr(self, "known", {})
+        kept = [(w, i) for w, i in known.items() if self.met[i] > 1][: CACHE_WORDS // 2]
+        ids = [self.flat[self.starts[i] : self.starts[i + 1]] for _, i in kept]
+        self.known: dict[str, int] = {w: n for n, (w, _) in enumerate(kept)}
+        self.starts: list[int] = [0, *np.cumsum([len(x) for x in ids]).tolist()] if ids else [0]
+        self.used = self.starts[-1]
+        self.flat = np.zeros(max(1 << 16, 2 * self.used), dtype=np.int32)
+        if ids:
+            self.flat[: self.used] = np.concatenate(ids)
+        self.met = np.zeros(len(kept), dtype=np.int64)
+
+    # -- words of a text ----------------------------------------------------------------------
+
+    def words(self, text: str | None) -> list[str]:
+        """Keys of the text's words: a plain word is its own key, others are spelled in byte symbols
+        after a NUL, and a special token is its name."""
+        if not text:
+            return []
+        if "<|" not in text and self.plain.fullmatch(text):
+            return self.cut.findall(text.lower())
+        out: list[str] = []
+        for chunk in _SPACES.split(text):
+            for part in self.special_re.split(chunk) if self.special_re and "<|" in chunk else (chunk,):
+                if part in self.special:
+                    out.append(part)
+                elif self.plain.fullmatch(part):
+                    out += self.cut.findall(part.lower())
+                elif part:
+                    out += ["\0" + w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
-    def _plain_words(self, text: str) -> list[str]:
-        low = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
-        pieces = [low] if low.isalpha() else self.cut.findall(low)
-        return [self._final("".join(map(self.bytes.__getitem__, p.encode())) if not p.isascii() else p) for p in pieces]
-
-    def _library_words(self, text: str) -> list[str]:
-        return [self._final(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-
-    @staticmethod
-    def _final(word: str) -> str:
+    def _run(self, key: str) -> str:
+        word = key[1:] if key[0] == "\0" else key if key.isascii() else "".join(map(self.bytes.__getitem__, key.encode()))
         return word[:-1] + chr(ord(word[-1]) + FINAL)
 
     # -- which tokens may stand side by side --------------------------------------------------
@@ -147,102 +157,101 @@ class TrieBpe:
         return parts
 
     def _may_follow(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            a, b = self.runs[left], self.runs[right]
-            known = self.pairs[left, right] = self._merged(a + b) == [a, b]
+        """Whether the merges leave this pair alone; left START: whether they make the token at all."""
+        a, b = [] if left == START else [self.runs[left]], self.runs[right]
+        known = self._merged("".join(a) + b) == [*a, b]
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 20 | right] = known
         return known
 
-    def _stands(self, token: int) -> bool:
-        known = self.alone.get(token)
-        if known is None:
-            run = self.runs[token]
-            known = self.alone[token] = len(run) == 1 or self._merged(run) == [run]
-        return known
+    def _move(self, state: int, symbol: str) -> int:
+        """The automaton's next state: the longest run that ends here and begins some token."""
+        run = self.spelled[state] + symbol
+        while run and run not in self.prefixes:
+            run = run[1:]
+        to = self.state_of.get(run)
+        if to is None:
+            to = self.state_of[run] = len(self.spelled)
+            self.spelled.append(run)
+            self.moves.append({})
+            self.ends.append(tuple((self.tokens[run[i:]], len(run) - i) for i in range(len(run)) if run[i:] in self.tokens))
+        self.moves[state][symbol] = to
+        return to
 
     # -- the walk -----------------------------------------------------------------------------
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Encode distinct words in one depth-first walk over their trie."""
+        """Encode distinct words (runs of symbols) in one depth-first walk over their trie."""
         out: dict[str, list[int]] = {}
-        last: list[int] = [-1]  # last[d]: the last token of the encoding of the path's first d symbols
-        size: list[int] = [0]
+        # By depth on the path: automaton state, last token of the prefix's encoding, its length.
+        states, last, size = [0], [START], [0]
         path = ""
-        tokens, longest, pairs, may_follow = self.tokens, self.longest, self.pairs, self._may_follow
+        moves, ends, pairs = self.moves, self.ends, self.pairs
         for word in sorted(words):
-            n, depth = len(word), 0
+            depth = 0
             for a, b in zip(path, word, strict=False):
                 if a != b:
                     break
                 depth += 1
-            del last[depth + 1 :], size[depth + 1 :]
-            for d in range(depth + 1, n + 1):
-                for k in range(min(d, longest), 0, -1):
-                    token = tokens.get(word[d - k : d])
-                    if token is None:
-                        continue
-                    if k == d:
-                        if not self._stands(token):
-                            continue
-                    else:
-                        before = last[d - k]
-                        if before < 0:
-                            continue
-                        ok = pairs.get((before, token))
-                        if not (may_follow(before, token) if ok is None else ok):
-                            continue
-                    last.append(token)
-                    size.append(k)
-                    break
+            del states[depth + 1 :], last[depth + 1 :], size[depth + 1 :]
+            state = states[-1]
+            for d in range(depth + 1, len(word) + 1):
+                symbol = word[d - 1]
+                to = moves[state].get(symbol)
+                state = self._move(state, symbol) if to is None else to
+                for token, k in ends[state]:
+                    before = last[d - k]
+                    ok = pairs.get(before << 20 | token)
+                    if self._may_follow(before, token) if ok is None else ok:
+                        states.append(state)
+                        last.append(token)
+                        size.append(k)
+                        break
                 else:
-                    last.append(-1)
-                    size.append(0)
-            ids, d = [], n
+                    raise ValueError("a symbol is missing from the vocabulary")
+            ids, d = [], len(word)
             while d > 0:
-                if last[d] < 0:
-                    raise ValueError(f"no encoding for a word of {n} symbols")
                 ids.append(last[d])
                 d -= size[d]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
             path = word
         return out
 
     # -- batches ------------------------------------------------------------------------------
 
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {c: self.words(c) for c in chunks}
-        known = self.encode_words({w for ws in parts.values() for w in ws if isinstance(w, str)})
-        for c, ws in parts.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w] if isinstance(w, str) else [w]
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.chunks[c] = len(self.starts) - 1
-            self.starts.append(self.used)
+    def _learn(self, keys: set[str]) -> None:
+        runs = {k: self._run(k) for k in keys if k not in self.special}
+        found = self.encode_words(set(runs.values()))
+        flat: list[int] = []
+        for k in keys:
+            flat += found[runs[k]] if k in runs else [self.special[k]]
+            self.known[k] = len(self.starts) - 1
+            self.starts.append(self.used + len(flat))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.met = np.concatenate([self.met, np.zeros(len(keys), np.int64)])
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, and the texts' offsets into them."""
-        split = [[w for w in _SPACES.split(t) if w] if t else [] for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
+        split = [self.words(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
             self.reset()
-        new = set().union(*split).difference(self.chunks) if split else set()
+        new = set().union(*split).difference(self.known)
         if new:
             self._learn(new)
-        find = self.chunks.__getitem__
-        total = sum(map(len, split))
-        at = np.fromiter((find(w) for ws in split for w in ws), dtype=np.int64, count=total)
-        starts = np.asarray(self.starts, dtype=np.int64)
-        lengths = starts[at + 1] - starts[at] if total else np.zeros(0, np.int64)
-        ends = np.zeros(total + 1, dtype=np.int64)
-        np.cumsum(lengths, out=ends[1:])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], lengths)] if total else np.zeros(0, np.int32)
         rows = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(ws) for ws in split], out=rows[1:])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(rows[-1]))
+        self.met += np.bincount(at, minlength=len(self.met))
+        starts = np.asarray(self.starts, dtype=np.int64)
+        lengths = starts[at + 1] - starts[at]
+        ends = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], lengths)]
         return ids, ends[rows]
 
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:

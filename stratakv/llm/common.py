@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of bytes other than these (ASCII space and \t \n \v \f \r).
@@ -154,3 +155,27 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> t
         np.cumsum(words * up[: len(words)], out=sums[1:])
         at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], counts)
         return mix64((sums[at + k] - sums[at]) * down[at]), out
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by its first n_keys (integer) columns.
+
+    Holds one group and one batch at a time.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        if held is not None:
+            now = pa.concat_tables([held, now]).combine_chunks()
+        change = np.zeros(now.num_rows - 1, dtype=bool)
+        for i in range(n_keys):
+            key = now.column(i).to_numpy()
+            change |= key[1:] != key[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield now.slice(a, b - a)
+        held = now.slice(cuts[-1])
+    if held is not None:
+        yield held
