@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, hilbert, langid, linededup, minhash, mixing, substring
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,12 +18,45 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(minhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.mix(table(spark, sf_dir, "documents"))[1])
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.report(hilbert.shard(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=16))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(substring.dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+    "op2_line_windows": op2_line_windows,
+    "op4_low_discrepancy_mix": op4_low_discrepancy_mix,
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op9_ecoc_language_id": op9_ecoc_language_id,
+    "op10_de_bruijn_substrings": op10_de_bruijn_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_windows": linededup.ORACLE,
+    "op4_low_discrepancy_mix": mixing.ORACLE,
+}
