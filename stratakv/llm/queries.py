@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, langid, linededup, minhash, mixing, substring
+from . import bpe, crosspolytope, hilbert, langid, linededup, minhash, mixing, substring, urlfilter, vptree
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op3_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search_table(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(table(spark, sf_dir, "documents"))[1])
 
@@ -34,10 +38,18 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.report(hilbert.shard(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=16))
 
 
+def op6_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES).drop("url")
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,9 +61,12 @@ def op10_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_line_windows": op2_line_windows,
+    "op3_vantage_point_trees": op3_vantage_point_trees,
     "op4_low_discrepancy_mix": op4_low_discrepancy_mix,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_url_character_models": op6_url_character_models,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_cross_polytope": op8_cross_polytope,
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_de_bruijn_substrings": op10_de_bruijn_substrings,
 }
