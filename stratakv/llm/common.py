@@ -17,7 +17,7 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: Bytes of text handled at once inside a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,15 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 1
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def prefix_sums(words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums s and powers d such that (s[b] - s[a]) * d[a] is a polynomial over words[a:b]."""
+    up, down = _powers(seed, len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+    return sums, down
+
+
 def window_hashes(words: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words inside rows, and the rows' offsets into them."""
     counts = np.maximum(np.diff(bounds) - k + 1, 0)
@@ -149,10 +158,8 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> t
     np.cumsum(counts, out=out[1:])
     if not out[-1]:
         return np.zeros(0, np.uint64), out
-    up, down = _powers(seed, len(words) + 1)
+    sums, down = prefix_sums(words, seed)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
         at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], counts)
         return mix64((sums[at + k] - sums[at]) * down[at]), out
 

@@ -1,28 +1,33 @@
 """Substring dedup on a de Bruijn graph of token k-mers.
 
 An edge of the graph is a run of `k` consecutive words (its nodes are the runs of k - 1 words at
-either end). An edge that starts in two documents or more is repeated; its source coordinate is its
-first place, by (doc_id, position). In a document a repeated edge whose source lies in a document
-with a smaller doc_id is to go. Edges that follow one another in the document while their source
-coordinates advance in step form a nonbranching path and compact into one span. All words that a
-span covers are removed.
-
-Most edges occur once and never need to leave their task. Each edge is named after the smallest hash
-among its runs of `anchor` words, which equal edges share; an anchor that occurs in one document
-only cannot belong to a repeated edge. Anchors are few (about 2 / (k - anchor + 2) of all words), and
-their smallest and largest doc_id are aggregated before the shuffle. Only edges with a repeated
-anchor are sent out, as 96 bits of hash, document and position.
-
-Defined results: null text has no words and stays null; rows with null doc_id take no part and stay;
-rows with the same doc_id are one document for the comparison and are told apart by a hash of their
-text; fewer than k words: nothing goes. Kept words are joined by one blank if anything was removed,
-and in the digest always. Texts of any length are handled whole. An empty table gives an empty
-result. Other columns are not read.
-
-A hot passage costs one partial row a task where counts are made, and the join back is a plain
-shuffled join whose hot partitions can be split. The set of repeated anchors goes to the tasks as
+either end). The source of an edge is the smallest document in which it starts. In a document every
+edge whose source is a smaller document is to go, with all its words.
+
+Anchors. Each edge is named after the smallest hash among its runs of `anchor` words, which equal
+edges share. An anchor that occurs in one document only cannot belong to a repeated edge. Anchors are
+few (about 2 / (k - anchor + 2) of all words), and their smallest and largest document are aggregated
+before the shuffle.
+
+Paths. Consecutive edges with one anchor compact into a path, named by a hash of all its words. The
+cuts depend on the words alone, so a passage that two documents share falls into the same paths but
+for its ends. A first join on path names settles every path that a smaller document holds as a whole;
+of each path only the source's copy is taken apart again. Its edges are joined one by one, which
+settles the paths at the ends of shared passages, and those that branch. A removed path or edge keeps
+its source document; overlapping ones merge into spans, in the order of positions.
+
+Paths and edges are named by 96 bits, two independent hashes.
+
+Defined results: null text has no words; rows with null doc_id take no part and stay; rows with the
+same doc_id are one document for the comparison and are told apart by a hash of their text; fewer
+than k words: nothing goes. Kept words are joined by one blank. Texts of any length are handled
+whole. An empty table gives an empty result. Other columns are not read.
+
+A hot passage costs one partial row a task where minima are made, and the joins back are plain
+shuffled joins whose hot partitions can be split. The set of repeated anchors goes to the tasks as
 a broadcast if it is at most `BROADCAST_ANCHORS` long, which is checked; beyond that anchors are
-joined and reach each document by a shuffle.
+joined and reach each document by a shuffle. Texts are hashed again for each use, which is cheaper
+than to keep the hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes, window_hashes, word_hashes, words_of
+from .common import materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
 
 K, ANCHOR = 50, 16
 #: At most this many anchors (8 bytes each) are broadcast.
@@ -72,18 +77,20 @@ class Edges:
         else:
             self.anchors = np.zeros(0, np.int64)
 
-    def named(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, anchor) where the anchor changes from one edge to the next."""
         change = np.ones(len(self.at), dtype=bool)
         change[1:] = (self.anchors[1:] != self.anchors[:-1]) | (self.row[1:] != self.row[:-1])
-        return self.row[change], self.anchors[change]
+        #: Paths: first edges, and one past the last edges.
+        self.first = np.flatnonzero(change)
+        self.end = np.append(self.first[1:], len(self.at))
 
-    def hashes(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.array([0, len(self.words)])
-        at = self.at[pick]
-        one, _ = window_hashes(self.words, whole, self.k, SEED_EDGE)
-        two, _ = window_hashes(self.words, whole, self.k, SEED_CHECK)
-        return one[at].view(np.int64), (two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def hashes(self, at: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """96-bit names of runs of words, by start and length."""
+        out = []
+        with np.errstate(over="ignore"):
+            for seed in (SEED_EDGE, SEED_CHECK):
+                sums, down = prefix_sums(self.words, seed)
+                out.append(mix64((sums[at + length] - sums[at]) * down[at] + np.asarray(length).astype(np.uint64)))
+        return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +104,8 @@ def _repeated_anchors(rows: DataFrame, k: int, anchor: int) -> tuple[DataFrame,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, name = Edges(part.column(2), k, anchor).named()
+                edges = Edges(part.column(2), k, anchor)
+                row, name = edges.row[edges.first], edges.anchors[edges.first]
                 yield pa.RecordBatch.from_arrays([pa.array(name), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["anchor", "doc", "mark"])
 
     anchors = rows.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "anchor long, doc long, mark long")
@@ -105,65 +113,83 @@ def _repeated_anchors(rows: DataFrame, k: int, anchor: int) -> tuple[DataFrame,
     return anchors, materialize(seen.where("a < b").select("anchor"), "substring-anchors")
 
 
-def _edge_rows(part: pa.RecordBatch, edges: Edges, hit: np.ndarray) -> pa.RecordBatch:
-    pick = np.flatnonzero(hit)
-    one, two = edges.hashes(pick) if len(pick) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-    row = edges.row[pick]
-    marks = np.asarray(part.column(1).fill_null(0))[row]
-    place = (marks << 32) | (edges.at[pick] - edges.bounds[row])
-    return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), part.column(0).take(pa.array(row)), pa.array(place)], names=["h1", "h2", "doc", "place"])
-
+PATH = "p1 long, p2 int, doc long, place long, n int, h1 array<long>, h2 array<int>"
 
-EDGE = "h1 long, h2 int, doc long, place long"
 
+def _path_rows(part: pa.RecordBatch, edges: Edges, pick: np.ndarray, opened: bool) -> pa.RecordBatch:
+    """One row per picked path; opened: with the names of its edges."""
+    first, end = edges.first[pick], edges.end[pick]
+    n, row = end - first, edges.row[first]
+    p1, p2 = edges.hashes(edges.at[first], n + (edges.k - 1))
+    marks = np.asarray(part.column(1).fill_null(0))[row]
+    place = (marks << 32) | (edges.at[first] - edges.bounds[row])
+    cuts = np.zeros(len(n) + 1, dtype=np.int32)
+    np.cumsum(n if opened else np.zeros_like(n), out=cuts[1:])
+    each = np.arange(cuts[-1]) + np.repeat(first - cuts[:-1], n) if opened else np.zeros(0, np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(h)) for h in edges.hashes(edges.at[each], edges.k)]
+    return pa.RecordBatch.from_arrays([pa.array(p1), pa.array(p2), part.column(0).take(pa.array(row)), pa.array(place), pa.array(n.astype(np.int32)), *lists], names=["p1", "p2", "doc", "place", "n", "h1", "h2"])
+
+
+class _Paths:
+    """All paths with a repeated anchor; each call makes them anew from the texts."""
+
+    def __init__(self, rows: DataFrame, k: int, anchor: int, most: int):
+        self.k, self.anchor = k, anchor
+        anchors, repeated = _repeated_anchors(rows, k, anchor)
+        self.live = rows.where("doc IS NOT NULL AND text IS NOT NULL")
+        self.known = None
+        if repeated.count() <= most:
+            self.known = rows.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy()))
+        else:
+            own = anchors.join(repeated.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(F.collect_set("anchor").alias("names"))
+            self.live = self.live.join(own.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "names")
 
-def _candidate_edges(rows: DataFrame, k: int, anchor: int, most: int) -> DataFrame:
-    spark = rows.sparkSession
-    anchors, repeated = _repeated_anchors(rows, k, anchor)
-    live = rows.where("doc IS NOT NULL AND text IS NOT NULL")
-    if repeated.count() <= most:
-        known = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy()))
+    def rows(self, opened: bool) -> DataFrame:
+        k, anchor, known = self.k, self.anchor, self.known
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = known.value
             for batch in batches:
                 for part in slices(batch, "text"):
                     edges = Edges(part.column(2), k, anchor)
-                    if len(edges.at) and len(names):
-                        near = np.minimum(np.searchsorted(names, edges.anchors), len(names) - 1)
-                        yield _edge_rows(part, edges, names[near] == edges.anchors)
-
-        return live.mapInArrow(run, EDGE)
-
-    own = anchors.join(repeated.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(F.collect_set("anchor").alias("names"))
-
-    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                edges = Edges(part.column(2), k, anchor)
-                hit = np.zeros(len(edges.at), dtype=bool)
-                cut = np.searchsorted(edges.row, np.arange(part.num_rows + 1))
-                for i in range(part.num_rows):
-                    hit[cut[i] : cut[i + 1]] = np.isin(edges.anchors[cut[i] : cut[i + 1]], np.asarray(part.column(3)[i].values))
-                yield _edge_rows(part, edges, hit)
-
-    return live.join(own.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "names").mapInArrow(run_own, EDGE)
+                    if not len(edges.at):
+                        continue
+                    name = edges.anchors[edges.first]
+                    if known is not None:
+                        names = known.value
+                        hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), bool)
+                    else:
+                        hit = np.zeros(len(name), dtype=bool)
+                        cut = np.searchsorted(edges.row[edges.first], np.arange(part.num_rows + 1))
+                        for i in range(part.num_rows):
+                            hit[cut[i] : cut[i + 1]] = np.isin(name[cut[i] : cut[i + 1]], np.asarray(part.column(3)[i].values))
+                    yield _path_rows(part, edges, np.flatnonzero(hit), opened)
+
+        return self.live.mapInArrow(run, PATH)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, most: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc, mark, start, n_words, source_doc, source_start): spans that repeat a smaller document's words."""
-    edges = materialize(_candidate_edges(_read(docs, id_col, text_col), k, anchor, most), "substring-edges")
-    place = F.struct("doc", "place")
+    """(doc, mark, start, n_words, source_doc): spans whose words smaller documents hold."""
+    paths = _Paths(_read(docs, id_col, text_col), k, anchor, most)
+    seen = paths.rows(opened=False).groupBy("p1", "p2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
+    shared = materialize(seen.where("source < last").select("p1", "p2", "source"), "substring-paths")
+    met = paths.rows(opened=True).join(shared.hint("shuffle_hash"), ["p1", "p2"], "left")
+    later = F.coalesce(F.col("doc") > F.col("source"), F.lit(False))
+    met = met.select("doc", "place", "n", F.when(later, F.col("source")).alias("source"), *[F.when(~later, F.col(c)).alias(c) for c in ("h1", "h2")])
+    met = materialize(met, "substring-met")
+
+    edges = met.where("source IS NULL").select("doc", "place", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "doc", (F.col("place") + F.col("i")).alias("place"))
     seen = edges.groupBy("h1", "h2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
-    # Repeated edges only. The source's position is looked up with the others, on the join back.
-    repeated = materialize(seen.where("source < last").select("h1", "h2", "source"), "substring-repeats")
-    back = edges.join(repeated.hint("shuffle_hash"), ["h1", "h2"])
-    mine = back.where("doc > source").select("doc", (F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pos"), F.shiftright("place", 32).alias("mark"), "source")
-    # Nonbranching runs: the edges of one document in order, as long as the source stays.
-    order = Window.partitionBy("doc", "mark").orderBy("pos")
-    same = (F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source") == F.lag("source").over(order))
-    numbered = mine.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
-    return numbered.groupBy("doc", "mark", "path").agg(F.min("pos").alias("start"), (F.count("*") + (k - 1)).alias("n_words"), F.min("source").alias("source_doc")).select("doc", "mark", "start", "n_words", "source_doc")
+    shared = materialize(seen.where("source < last").select("h1", "h2", "source"), "substring-edges")
+    late = edges.join(shared.hint("shuffle_hash"), ["h1", "h2"]).where("doc > source").select("doc", "place", F.lit(1).alias("n"), "source")
+
+    parts = met.where("source IS NOT NULL").select("doc", "place", "n", "source").unionByName(late)
+    parts = parts.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n", "source")
+    order = Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.col("start") + F.col("n")).over(order)
+    numbered = parts.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = numbered.withColumn("span", F.sum("new").over(Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("doc", "mark", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("source").alias("source_doc"))
+    return merged.select("doc", "mark", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n_words"), "source_doc")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
