@@ -1,0 +1,97 @@
+"""Write buffers of single writes, on the driver, bounded by the store's options."""
+
+from __future__ import annotations
+
+import os
+from dataclasses import dataclass, field
+
+from ..errors import NeedFlush
+from ..sources.wal import Log, LogIndex
+
+MAX_FROZEN = 1
+
+
+@dataclass
+class Memtable:
+    """The newest value of each key (None: deleted), its size, and its log."""
+
+    log: Log
+    rows: dict[bytes, bytes | None] = field(default_factory=dict)
+    size_bytes: int = 0
+    log_writes: int = 0
+
+    def apply(self, key: bytes, value: bytes | None) -> None:
+        if key in self.rows:
+            self.size_bytes -= len(key) + len(self.rows[key] or b"")
+        self.rows[key] = value
+        self.size_bytes += len(key) + len(value or b"")
+        self.log_writes += 1
+
+    def write(self, key: bytes, value: bytes | None) -> None:
+        self.log.append(key, value)
+        self.apply(key, value)
+
+
+class Memtables:
+    """An active buffer and at most one frozen one, newest first."""
+
+    def __init__(self, directory: str, sync: bool, threshold: int, target_bytes: int):
+        self.directory, self.sync, self.threshold, self.target_bytes = directory, sync, threshold, target_bytes
+        os.makedirs(directory, exist_ok=True)
+        self.index = LogIndex(directory)
+        active, frozen = self.index.load()
+        if active is None:
+            self.active = Memtable(Log.fresh(directory, sync))
+            self._record([])
+        else:
+            self.active = self._replayed(active)
+        self.frozen = [self._replayed(n) for n in frozen]
+
+    def _replayed(self, name: str) -> Memtable:
+        table = Memtable(Log(os.path.join(self.directory, name), self.sync))
+        for key, value in table.log.replay():
+            table.apply(key, value)
+        return table
+
+    def _record(self, frozen: list[Memtable], active: Memtable | None = None) -> None:
+        """One atomic replacement for both, so that no log is ever out of the index."""
+        self.index.store(os.path.basename((active or self.active).log.path), [os.path.basename(t.log.path) for t in frozen])
+
+    def active_full(self) -> bool:
+        return self.active.log_writes >= self.threshold or self.active.size_bytes > self.target_bytes
+
+    def needs_flush(self) -> bool:
+        return self.active_full() and len(self.frozen) >= MAX_FROZEN
+
+    def freeze(self) -> None:
+        fresh = Memtable(Log.fresh(self.directory, self.sync))
+        self._record([self.active, *self.frozen], fresh)
+        self.frozen.insert(0, self.active)
+        self.active = fresh
+
+    def write(self, key: bytes, value: bytes | None) -> None:
+        if self.needs_flush():
+            raise NeedFlush
+        if self.active_full():
+            self.freeze()
+        self.active.write(key, value)
+
+    def drop_oldest(self) -> None:
+        gone = self.frozen.pop()
+        self._record(self.frozen)
+        gone.log.delete()
+
+    def tables(self) -> list[Memtable]:
+        """Newest first."""
+        return [self.active, *self.frozen]
+
+    def find(self, key: bytes) -> tuple[bool, bytes | None]:
+        """Whether a buffer knows the key, and its value there."""
+        for t in self.tables():
+            if key in t.rows:
+                return True, t.rows[key]
+        return False, None
+
+    def sync_logs(self) -> None:
+        for t in self.tables():
+            t.log.sync()
