@@ -8,7 +8,7 @@ import shutil
 import threading
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -19,7 +19,7 @@ from ..plans.bounds import UNBOUNDED, Bound, Excluded, Included, restrict
 from ..plans.sizing import files_for
 from ..schema import OPLOG
 from ..sources.manifest import Manifest, ManifestStore
-from ..sources.runs import Written, read_runs, write_run
+from ..sources.runs import RunCache, Written, read_runs, write_run
 from .compaction import CompactionPolicy, FullCompaction, merge_runs
 from .memtable import Memtable, Memtables
 
@@ -93,6 +93,7 @@ class KVStore:
         self.spark, self.root, self.options = spark, os.path.abspath(path), options
         self.manifests = ManifestStore(self.root)
         self.memtables = Memtables(os.path.join(self.root, "wal"), options.wal_sync is SyncMode.FULL, options.wal_write_threshold, options.target_sstable_size_bytes)
+        self.cache = RunCache(self.root)
         self.metrics = Metrics()
         self.policy: CompactionPolicy = FullCompaction()
         self._compacting = threading.Lock()
@@ -117,16 +118,19 @@ class KVStore:
             self.metrics.deletes += 1
 
     def get(self, key: bytes | str) -> bytes | None:
-        """A Spark job, unless a buffer knows the key; for many keys use multi_get()."""
+        """The newest record of the key, from buffers, then runs from new to old.
+
+        Works on the driver, one key at a time; for many keys use multi_get().
+        """
         key = _bytes(key)
         check_key(key)
         with self._state:
             known, value = self.memtables.find(key)
             manifest = self.manifests.load()
-        if not known:
-            at = Included(key)
-            rows = resolve.visible(resolve.latest(read_runs(self.spark, self.root, manifest.runs, at, at))).select("value").take(1)
-            value = bytes(rows[0]["value"]) if rows else None
+            for run in manifest.runs if not known else ():
+                known, value = self.cache.find(run, key)
+                if known:
+                    break
         self.metrics.reads += 1
         return value
 
@@ -164,20 +168,28 @@ class KVStore:
             good, bad = split(rows)
         else:
             good, bad = strict(rows), None
-        counted = good.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("b"), F.sum((~F.col("deleted")).cast("long")).alias("w"), F.sum(F.col("deleted").cast("long")).alias("d"))
+        counts = Observation()
+        good = good.observe(counts, F.count(F.when(~F.col("deleted"), 1)).alias("w"), F.count(F.when(F.col("deleted"), 1)).alias("d"))
         try:
-            total = counted.first()
+            with self._state:
+                self._drain()
+                written = write_run(resolve.latest(good, "seq"), self.root, "run", self._files_of(good))
+                self._add_run(written, query, batch_id)
+                self.metrics.writes += counts.get["w"]
+                self.metrics.deletes += counts.get["d"]
         except Exception as e:
             reason = next((r for r in errors.BY_REASON if f"rejected write: {r}" in str(e)), None)
             raise (errors.BY_REASON[reason]() if reason else e) from e
-        with self._state:
-            self._drain()
-            written = write_run(resolve.latest(good, "seq"), self.root, "run", files_for(total["b"] or 0, self.options.target_sstable_size_bytes))
-            self._add_run(written, query, batch_id)
-            self.metrics.writes += total["w"] or 0
-            self.metrics.deletes += total["d"] or 0
         return bad
 
+    def _files_of(self, rows: DataFrame) -> int:
+        """Files for rows: one if the planner's estimate is far below the target, else by their size."""
+        target = self.options.target_sstable_size_bytes
+        if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * 8 <= target:
+            return 1
+        total = rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
+        return files_for(total or 0, target)
+
     # -- reads --------------------------------------------------------------------------------
 
     def records(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED) -> DataFrame:
@@ -253,7 +265,9 @@ class KVStore:
         rows = [(k, v, v is None, 0) for k, v in table.rows.items()]
         if not rows:
             return None
-        return write_run(self.spark.createDataFrame(rows, OPLOG), self.root, "run", files_for(table.size_bytes, self.options.target_sstable_size_bytes))
+        done = write_run(self.spark.createDataFrame(rows, OPLOG), self.root, "run", files_for(table.size_bytes, self.options.target_sstable_size_bytes))
+        self.cache.add(done.path, done.bytes, table.rows)
+        return done
 
     def _add_run(self, written: Written | None, query: str | None = None, batch_id: int | None = None) -> None:
         def change(m: Manifest) -> Manifest:

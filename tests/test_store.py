@@ -351,3 +351,16 @@ def test_against_a_model(spark, tmp_path, seed):
             assert content(store, Included(lo), Excluded(hi)) == want
     assert content(store) == sorted((k, v) for k, v in model.items() if v is not None)
     assert all(store.get(k) == model.get(k) for k in (b"k00", b"k07", b"k39"))
+
+
+def test_point_lookups_in_cached_and_large_runs(spark, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    store.put_many(frame(spark, [(b"%04d" % i, b"old%d" % i) for i in range(500)]))
+    store.put_many(frame(spark, [(b"%04d" % i, b"new") for i in range(0, 500, 5)]))
+    store.delete_many(frame(spark, [(b"%04d" % i, b"-") for i in range(0, 500, 25)]).select("key"))
+    want = {b"%04d" % i: None if i % 25 == 0 else b"new" if i % 5 == 0 else b"old%d" % i for i in range(500)}
+    for limits in ({}, {"largest": 0}, {"limit": 1}):
+        store.cache = type(store.cache)(store.root, **limits)
+        assert all(store.get(k) == want[k] for k in list(want)[:60])
+        assert store.get(b"none") is None
+        assert store.cache.held <= store.cache.limit
