@@ -9,12 +9,13 @@ more than 5.5 standard errors below the threshold is dropped; all others are com
 
 Equal sets are one class, found by a 128-bit sum of their hashes; classes alone take part.
 
-Inside a bucket no set of all pairs is made. First every member meets the bucket's smallest and
-largest class, which settles buckets of up to three; confirmed links give components. Then, round by
-round, buckets whose members are in several components get a fresh leader by hash, and only members
-in other components meet it. When a round links nothing more, what is left (members that share a
-bucket by chance or are less similar than the threshold) is compared in full, pairs of blocks of
-`BLOCK` members a task, on sketches alone; pairs that pass are confirmed as before.
+Inside a bucket no set of all pairs is made. First every member meets four leaders of its bucket: its
+smallest and largest class, and two chosen by hash. That settles buckets of up to three, and confirmed
+links give components. Buckets that still hold several components are compared in full, pairs of
+blocks of `BLOCK` members a task, each pair of members in its first common bucket only: once on
+sketches alone, which tells the few members that may have a link to another component, and then,
+with these members' full sets at hand, exactly. A task returns links that join components it has not
+seen joined, fewer than it has members.
 
 Defined results: null, empty and blank texts have the empty set and no links; rows with null doc_id
 take part in nothing (component null, kept); rows with the same doc_id are one node and share all
@@ -40,7 +41,6 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Least estimate: 0.75 less 5.5 standard errors of a mean over SAMPLES samples.
 LEAST = 0.75 - 5.5 * (0.75 * 0.25 / SAMPLES) ** 0.5
-ROUNDS = 2
 BLOCK = 1024
 SEED = 31
 
@@ -159,6 +159,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return made.join(wanted.hint("shuffle_hash"), ["doc", "f1"], "left_semi").dropDuplicates(["doc", "f1"])
 
 
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets (sorted, not empty) are similar enough."""
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough."""
 
@@ -166,11 +174,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             ok = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                small, large = (p, q) if len(p) < len(q) else (q, p)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                ok[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+                ok[i] = similar(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
@@ -193,108 +197,120 @@ def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return met.where(sizes & (_odd_bits("ka", "kb") <= most_odd_bits())).select("a", "b")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return materialize(components(links), "near-labels")
-
-
-class _Search:
-    """Links between classes, found bucket by bucket."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str):
-        self.docs, self.reps, self.id_col, self.text_col = docs, reps, id_col, text_col
-        self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> int:
-        """Add the links among pairs; how many there are."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(_plausible(pairs, self.reps), "near-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if pairs.isEmpty():
-            return 0
-        ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        wanted = self.reps.select("doc", "f1").join(ends, "doc", "left_semi")
-        sets = materialize(_sets(self.docs, materialize(wanted, "near-wanted"), self.id_col, self.text_col), "near-sets")
-        found = materialize(_confirm(pairs, sets), "near-links")
-        n = found.count()
-        if n:
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.labels = _labels(self.links)
-        return n
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """members with comp, and only buckets of more than three with members in several components."""
-        if self.labels is None:
-            known = members.withColumn("comp", F.col("doc"))
-        else:
-            known = members.join(self.labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        known = materialize(known.select("key", "doc", "comp"), "near-labelled")
-        mixed = materialize(known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y AND m > 3").select("key"), "near-mixed")
-        return materialize(known.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "near-open")
-
-
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs between components in buckets, by pairs of blocks of about BLOCK members."""
-    sized = materialize(members.groupBy("key").agg(F.count("*").alias("m")), "near-sizes")
-    met = members.join(sized, "key").join(reps.select("doc", "n", "sketch"), "doc")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = met.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "comp", "n", "sketch")
-    limit = most_odd_bits()
+def _full_sets(docs: DataFrame, reps: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, f1, shingles) of all classes of the docs in ends (doc)."""
+    wanted = reps.select("doc", "f1").join(ends.distinct(), "doc", "left_semi")
+    return materialize(_sets(docs, materialize(wanted, "near-wanted"), id_col, text_col), "near-sets")
+
+
+def _candidates(sketch: np.ndarray, bands: np.ndarray, n: np.ndarray, comp: np.ndarray, key: int, x: int, ys: np.ndarray) -> np.ndarray:
+    """Those of ys that may link x to another component, and that meet x in this bucket first."""
+    ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x]))]
+    ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1) <= most_odd_bits()]
+    same = bands[ys] == bands[x]
+    return ys[bands[x][same.argmax(axis=1)] == key]
+
+
+def _blocks_of(group: pa.Table) -> tuple[np.ndarray, ...]:
+    columns = [group.column(c).to_numpy() for c in ("doc", "comp", "n", "part")]
+    wide = [np.asarray(group.column(c).combine_chunks().flatten()).reshape(group.num_rows, -1) for c in ("sketch", "bands")]
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    left, right = np.flatnonzero(columns[3] == i), np.flatnonzero(columns[3] == j)
+    return (*columns, wide[0].view(np.uint64), wide[1], key, left, right, i == j)
+
+
+def _may_link(spread: DataFrame) -> DataFrame:
+    """The rows (key, i, j, part, doc, comp) of block pairs that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            doc, comp, n, part = (group.column(c).to_numpy() for c in ("doc", "comp", "n", "part"))
-            sketch = np.asarray(group.column("sketch").combine_chunks().flatten()).reshape(len(doc), -1).view(np.uint64)
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            doc, comp, n, _, sketch, bands, key, left, right, own = _blocks_of(group)
+            some = np.zeros(len(doc), dtype=bool)
+            for x in left.tolist():
+                ys = _candidates(sketch, bands, n, comp, key, x, right[doc[right] > doc[x]] if own else right)
+                some[ys] = True
+                some[x] |= len(ys) > 0
+            if some.any():
+                yield from group.select(["key", "i", "j", "part", "doc", "comp"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return spread.mapInArrow(run, "key long, i int, j int, part int, doc long, comp long")
+
+
+def _links(full: DataFrame) -> DataFrame:
+    """(a, b): exact links of block pairs that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            doc, comp, n, _, sketch, bands, key, left, right, own = _blocks_of(group)
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("shingles").combine_chunks()]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:  # noqa: B023
+                    root[c] = root[root[c]]  # noqa: B023
+                    c = root[c]  # noqa: B023
+                return c
+
             a, b = [], []
             for x in left.tolist():
-                ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
-                if i == j:
-                    ys = ys[doc[ys] > doc[x]]
-                if len(ys):
-                    ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1) <= limit]
-                    a.append(np.full(len(ys), doc[x]))
-                    b.append(doc[ys])
+                ys = _candidates(sketch, bands, n, comp, key, x, right[doc[right] > doc[x]] if own else right)
+                ys = ys[np.argsort(np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1), kind="stable")]
+                for y in ys.tolist():
+                    p, q = find(int(comp[x])), find(int(comp[y]))
+                    if p != q and similar(sets[x], sets[y]):
+                        root[max(p, q)] = min(p, q)
+                        a.append(doc[x])
+                        b.append(doc[y])
             if a:
-                a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "part", "doc", "comp", "n", "sketch")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return full.mapInArrow(run, "a long, b long").distinct()
+
+
+BLOCK_KEY = ("key", "i", "j")
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).select(*BLOCK_KEY, "part", "doc", "comp", "n", "sketch", "bands", *columns)
+
+
+def _compare_blocks(docs: DataFrame, members: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between the components of members (key, doc, comp)."""
+    sized = materialize(members.groupBy("key").agg(F.count("*").alias("m")), "near-sizes")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    met = members.join(sized.hint("shuffle_hash"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    spread = met.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "comp")
+    known = reps.select("doc", "n", "sketch", "bands")
+    some = materialize(_may_link(_dealt(spread.join(known, "doc"))), "near-may")
+    sets = _full_sets(docs, reps, some.select("doc"), id_col, text_col)
+    return materialize(_links(_dealt(some.join(known, "doc").join(sets.select("doc", "shingles"), "doc"), "shingles")), "near-links")
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) over classes that have a link."""
+    doc = F.col("doc")
     rows = reps.select(F.explode("bands").alias("key"), "doc")
-    seen = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    by_hash = [F.min_by("doc", F.xxhash64("doc", F.lit(t))).alias(f"l{t}") for t in (1, 2)]
+    seen = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *by_hash).where("lo < hi")
     members = materialize(rows.join(materialize(seen, "near-buckets").hint("shuffle_hash"), "key"), "near-members")
-    search = _Search(docs, reps, id_col, text_col)
-    doc = F.col("doc")
-    low = members.where("doc != lo").select(*_ordered(doc, F.col("lo")))
-    high = members.where("doc != hi").select(*_ordered(doc, F.col("hi")))
-    search.confirm(low.unionByName(high).distinct())
-    open_ = search.labelled(members)
-    for turn in range(ROUNDS):
-        if open_.isEmpty():
-            break
-        leaders = open_.groupBy("key").agg(F.min_by(F.struct(doc, "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead"))
-        met = open_.join(materialize(leaders, "near-leaders").hint("shuffle_hash"), "key").where("comp != lead.comp")
-        found = search.confirm(met.select(*_ordered(doc, F.col("lead.doc"))).distinct())
-        if not found:
-            break
-        open_ = search.labelled(open_.select("key", "doc"))
-    if not open_.isEmpty():
-        search.confirm(_blocks(open_, reps))
-    return search.labels if search.labels is not None else reps.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
+    lead = F.explode(F.array_distinct(F.array("lo", "hi", "l1", "l2")))
+    pairs = members.select("doc", lead.alias("lead")).where("doc != lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+    pairs = materialize(_plausible(pairs, reps), "near-pairs")
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+    links = materialize(_confirm(pairs, _full_sets(docs, reps, ends, id_col, text_col)), "near-links")
+    labels = materialize(components(links), "near-labels")
+
+    of = members.select("key", "doc").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    known = materialize(of.select("key", "doc", F.coalesce("component", doc).alias("comp")), "near-labelled")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y AND m > 3").select("key")
+    still = materialize(known.join(materialize(mixed, "near-mixed").hint("shuffle_hash"), "key", "left_semi"), "near-open")
+    if still.isEmpty():
+        return labels
+    more = _compare_blocks(docs, still, reps, id_col, text_col)
+    if more.isEmpty():
+        return labels
+    return materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
