@@ -33,47 +33,42 @@ def lines_of(text: Column) -> Column:
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (h1, h2, doc, thash, pos) of all windows; thash tells apart rows with the same id."""
-    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    lines = base.select("doc", F.xxhash64("text").alias("thash"), lines_of(F.col("text")).alias("lines")).where(F.size("lines") >= width)
-
-    def salted(salt: int) -> Column:
-        return F.transform("lines", lambda x: F.xxhash64(F.lit(salt), x))
-
-    hashed = lines.select("doc", "thash", *[salted(s).alias(f"l{i}") for i, s in enumerate(SALTS)])
+    """Rows (h1, h2, doc, thash, pos) of all windows; thash tells apart rows with the same id.
 
-    def run(name: str) -> Column:
-        starts = F.sequence(F.lit(0), F.size(name) - width)
-        return F.transform(starts, lambda p: F.xxhash64(*[F.get(F.col(name), p + k) for k in range(width)]))
-
-    zipped = hashed.select("doc", "thash", F.arrays_zip(run("l0").alias("h1"), run("l1").alias("h2")).alias("ws"))
-    return zipped.select("doc", "thash", F.posexplode("ws").alias("pos", "w")).select(F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), "doc", "thash", "pos")
+    The lines, and the lines from the 2nd, 3rd... on, side by side; rows without a last line go.
+    """
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    lines = lines_of(F.col("text"))
+    beside = F.arrays_zip(*[(lines if k == 0 else F.slice(lines, k + 1, F.size(lines))).alias(f"x{k}") for k in range(width)])
+    each = base.select("doc", F.xxhash64("text").alias("thash"), F.posexplode(beside).alias("pos", "w")).where(F.col(f"w.x{width - 1}").isNotNull())
+    names = [F.xxhash64(F.lit(salt), *[F.col(f"w.x{k}") for k in range(width)]).alias(f"h{i + 1}") for i, salt in enumerate(SALTS)]
+    return each.select(*names, "doc", "thash", "pos")
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc, thash, positions): starts of later occurrences in each document that has any."""
+def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(doc, thash, covered): the lines that go, in each document that has any."""
     windows = _windows(docs, id_col, text_col, width)
     place = F.struct("doc", "thash", "pos")
     seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialize(seen.where("first != last").select("h1", "h2", "first"), "line-windows")
     found = windows.join(repeated.hint("shuffle_hash"), ["h1", "h2"])
     later = found.where(~F.struct("doc", "thash", "pos").eqNullSafe(F.col("first")))
-    return later.groupBy("doc", "thash").agg(F.collect_set("pos").alias("positions"))
+    lines = later.select("doc", "thash", F.explode(F.sequence("pos", F.col("pos") + (width - 1))).alias("line"))
+    return lines.groupBy("doc", "thash").agg(F.collect_set("line").alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """docs with the text's repeated lines removed, and two columns more: _n_lines, _n_removed (long)."""
-    hits = later_windows(docs, id_col, text_col, width).select(F.col("doc").alias("_hit_doc"), F.col("thash").alias("_hit_text"), F.col("positions").alias("_hit_at"))
+    hits = covered_lines(docs, id_col, text_col, width).select(F.col("doc").alias("_hit_doc"), F.col("thash").alias("_hit_text"), F.col("covered").alias("_covered"))
     text = F.col(text_col)
-    keyed = docs.withColumn("_thash", F.xxhash64(text))
-    joined = keyed.join(hits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_hit_doc")) & (F.col("_thash") == F.col("_hit_text")) & text.isNotNull(), "left")
-    covered = F.array_distinct(F.flatten(F.transform("_hit_at", lambda p: F.sequence(p, p + (width - 1)))))
-    marked = joined.withColumn("_covered", covered).withColumn("_lines", lines_of(text))
-    kept = F.filter("_lines", lambda line, i: ~F.array_contains("_covered", i))
-    clean = F.when(F.col("_covered").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    counted = marked.withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-    counted = counted.withColumn("_n_removed", F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"))
-    return counted.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_removed")
+    # The text travels as its lines, which are then a plain column: what follows splits nothing again.
+    keyed = docs.select(*[lines_of(text).alias("_lines") if c == text_col else F.col(c) for c in docs.columns], F.xxhash64(text).alias("_thash"), text.isNotNull().alias("_known"))
+    marked = keyed.join(hits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_hit_doc")) & (F.col("_thash") == F.col("_hit_text")) & F.col("_known"), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
+    kept = F.when(F.col("_covered").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i)))
+    n_lines = F.when(F.col("_known"), F.size("_lines")).otherwise(0).cast("long")
+    n_removed = F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long")
+    return marked.select(*[F.array_join(kept, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("_n_lines"), n_removed.alias("_n_removed"))
 
 
 def report(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
