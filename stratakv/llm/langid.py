@@ -7,15 +7,15 @@ winner. A document is ambiguous if the runner-up's loss is within `AMBIGUOUS` of
 is, if the codewords do not tell the two apart.
 
 Fitting uses a bounded sample of labelled rows: at most `SAMPLE_PER_LANG` documents of each
-language, those with the smallest hash of their id, so reruns agree. Prediction reads whole texts
+language, and `SAMPLE_ROWS` in all, those with the smallest hash of their id, so reruns agree. Prediction reads whole texts
 and nothing but text.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with no labelled rows
 every row is `und`; with one language all texts with letters get it, with score 1. Rows repeat as
 they come; an empty table gives an empty result; other columns are not read.
 
-Plan: the sample is chosen by a window limited before its shuffle, and is at most (languages x
-SAMPLE_PER_LANG) rows on the driver; the model is (bits x BUCKETS) numbers, whatever the corpus
+Plan: the sample is chosen by a window limited before its shuffle; its features are made on the
+executors, so the driver holds SAMPLE_ROWS vectors at most, however long the texts; the model is (bits x BUCKETS) numbers, whatever the corpus
 holds. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
 """
 
@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, randoms, slices, text_bytes
+from .common import materialize, mix64, randoms, slices, text_bytes
 
 SAMPLE_PER_LANG = 400
+#: Most rows of all languages together; each is one vector of BUCKETS numbers on the driver.
+SAMPLE_ROWS = 8192
 #: Most languages that are learned: those with the most documents in the training rows.
 MOST_LANGS = 256
 BUCKETS = 4096
@@ -86,6 +88,8 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n x bits of +1 and -1. For few languages all splits in two; else random words far apart."""
+    if n < 2:
+        return np.zeros((n, 0), dtype=np.int8)
     if n <= 5:
         bits = [[1 if (m >> i) & 1 else -1 for i in range(n)] for m in range(1, 1 << n, 2) if m != (1 << n) - 1]
         return np.array(bits, dtype=np.int8).T.reshape(n, -1)
@@ -115,14 +119,13 @@ class Model:
         return plus @ (self.codes > 0).T.astype(np.float64) + minus @ (self.codes < 0).T.astype(np.float64)
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """x: the rows' features."""
     names = sorted(set(langs))
     codes = codewords(len(names))
     if len(names) < 2:
-        return Model(names, np.zeros((len(names), 0), np.int8), np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model(names, codes, np.zeros((BUCKETS, 0)), np.zeros(0))
     y = np.array([names.index(v) for v in langs])
-    parts = [features(pa.array(texts[i : i + 256], type=pa.large_string())) for i in range(0, len(texts), 256)]
-    x = np.concatenate(parts)
     share = 1.0 / (np.bincount(y)[y] * len(names))  # each language weighs the same
     target = codes[y].astype(np.float32)
     w, b = np.zeros((BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
@@ -147,13 +150,26 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: (id, text, lang). Fits on at most per_lang rows of each language."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     ids = rows.select("lang", F.xxhash64("id", F.lit(3)).alias("h"), F.xxhash64("text").alias("t"))
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+    common = materialize(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang"), "lang-names")
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, common.count())))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     # The window sees ids only and keeps per_lang a language before it shuffles; texts follow by join.
     chosen = ids.join(F.broadcast(common), "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t").distinct()
-    texts = rows.withColumn("h", F.xxhash64("id", F.lit(3))).join(F.broadcast(chosen), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
-    sample = texts.select("lang", "text", "h").dropDuplicates(["lang", "h", "text"]).orderBy("lang", "h", "text").toArrow()
-    return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
+    texts = rows.withColumn("h", F.xxhash64("id", F.lit(3))).join(F.broadcast(materialize(chosen, "lang-sample")), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    x = [row.tobytes() for row in features(some.column(3))]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(x, pa.binary())], names=["lang", "h", "t", "x"])
+
+    made = texts.select("lang", "h", "t", "text").mapInArrow(run, "lang string, h long, t long, x binary")
+    # At most SAMPLE_ROWS rows, but for rows with the same id and text.
+    sample = made.dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").toArrow()
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
+    return fit(x, sample.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
