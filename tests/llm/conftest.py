@@ -1,0 +1,58 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def sf():
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    return SF
+
+
+def words(n, tag="w"):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """Nulls in any column, empty and long texts, ties, repeated rows."""
+    long = words(30_000)
+    rows = [
+        (1, "Alpha beta gamma delta epsilon zeta", "en", "s1"),
+        (2, "alpha BETA gamma delta epsilon zeta", "en", "s1"),
+        (2, "alpha BETA gamma delta epsilon zeta", "en", "s1"),
+        (3, None, "en", "s2"),
+        (4, "", None, None),
+        (5, " \t\n\x0b\x0c\r ", "de", "s2"),
+        (None, "orphan text with no id at all", "de", "s2"),
+        (None, None, None, None),
+        (6, long, "en", "s3"),
+        (7, long + " tail", "fr", "s3"),
+        (8, "12345 67890 !!!", "fr", None),
+        (9, "l1\nl2\nl3\nl4", "en", "s1"),
+        (10, "x\nl1\nl2\nl3\ny", "en", "é"),
+        (11, words(60, "p") + " " + words(5, "q"), "en", "s4"),
+        (12, words(5, "r") + " " + words(60, "p"), "en", "s4"),
+        (13, "Ünïcödé ﬁ 日本語 😀 <|endoftext|> it's", "de", "s4"),
+        (-7, "one", "en", "s1"),
+    ]
+    return [(*r, None if r[1] is None else len(r[1])) for r in rows]
+
+
+@pytest.fixture(scope="session")
+def odd(spark, odd_rows):
+    """The odd rows with extra columns whose names are those that operators use inside."""
+    df = spark.createDataFrame(odd_rows, DOCS)
+    for c in ("doc", "source_size", "h1", "pos", "id", "shard", "key", "size", "rank", "comp", "start", "_n", "v"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
