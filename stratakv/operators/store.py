@@ -17,7 +17,7 @@ from ..functions.validate import check_key, check_value, split, strict
 from ..plans import resolve
 from ..plans.bounds import UNBOUNDED, Bound, Excluded, Included, restrict
 from ..plans.sizing import files_for
-from ..schema import OPLOG
+from ..schema import local_oplog
 from ..sources.manifest import Manifest, ManifestStore
 from ..sources.runs import RunCache, Written, read_runs, write_run
 from .compaction import CompactionPolicy, FullCompaction, merge_runs
@@ -190,22 +190,44 @@ class KVStore:
         total = rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
         return files_for(total or 0, target)
 
-    # -- reads --------------------------------------------------------------------------------
+    # -- what a read sees ---------------------------------------------------------------------
+
+    def _layers(self, lower: Bound, upper: Bound) -> tuple[DataFrame | None, bool, DataFrame | None]:
+        """What is above the base, whether its keys are unique, and the base; None for no rows."""
+        with self._state:
+            manifest, tables = self.manifests.load(), [t for t in reversed(self.memtables.tables()) if t.rows]
+            local = [local_oplog(self.spark, t.rows).withColumn("run_id", F.lit(manifest.next_run_id + age).cast("long")) for age, t in enumerate(tables)]
+        parts = [read_runs(self.spark, self.root, manifest.l0, lower, upper)] if manifest.l0 else []
+        parts += [restrict(rows, lower, upper) for rows in local]
+        base = read_runs(self.spark, self.root, manifest.l1, lower, upper) if manifest.l1 else None
+        return resolve.merge(parts) if parts else None, len(manifest.l0) + len(tables) <= 1, base
 
     def records(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED) -> DataFrame:
         """All versions of the range: (key, value, deleted, seq, run_id), buffers newest."""
-        with self._state:
-            manifest, tables = self.manifests.load(), self.memtables.tables()
-            local = [(k, v, v is None, 0, manifest.next_run_id + age) for age, t in enumerate(reversed(tables)) for k, v in t.rows.items()]
-        rows = read_runs(self.spark, self.root, manifest.runs, lower, upper)
-        if local:
-            schema = OPLOG.simpleString()[7:-1].replace(":", " ") + ",run_id bigint"
-            rows = rows.unionByName(restrict(self.spark.createDataFrame(local, schema), lower, upper))
-        return rows
+        top, _, base = self._layers(lower, upper)
+        parts = [p for p in (top, base) if p is not None]
+        return resolve.merge(parts) if parts else read_runs(self.spark, self.root, ())
+
+    def _visible(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, keys: DataFrame | None = None) -> DataFrame:
+        """(key, value) as of now. One run alone needs no search for the newest, nor does the base."""
+        top, unique, base = self._layers(lower, upper)
+        if keys is not None:
+            top, base = (None if p is None else resolve.named(p, keys) for p in (top, base))
+        if top is None and base is None:
+            rows = read_runs(self.spark, self.root, ())
+        elif top is None:
+            rows = base
+        else:
+            rows = top if unique else resolve.latest(top)
+            rows = rows if base is None else resolve.over_base(rows, base)
+        return resolve.visible(rows).select("key", "value")
+
+    # -- reads --------------------------------------------------------------------------------
 
     def scan(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, limit: int | None = None) -> DataFrame:
         """(key, value) of the range in key order, as of now; pull rows with toLocalIterator()."""
-        return resolve.scan(self.records(lower, upper), lower, upper, limit)
+        rows = self._visible(lower, upper).orderBy("key")
+        return rows if limit is None else rows.limit(limit)
 
     def scan_prefix(self, prefix: bytes | str) -> DataFrame:
         prefix = _bytes(prefix)
@@ -215,11 +237,11 @@ class KVStore:
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """(key, value) for each row of keys; null for keys that are missing or deleted."""
         self.metrics.reads += keys.count()
-        return resolve.multi_get(self.records(), keys)
+        return keys.select("key").join(self._visible(keys=keys), "key", "left")
 
     def create_view(self, name: str) -> None:
         """A temporary SQL view of what a full scan sees now."""
-        resolve.visible(resolve.latest(self.records())).select("key", "value").createOrReplaceTempView(name)
+        self._visible().createOrReplaceTempView(name)
 
     def live_sstables(self) -> int:
         """Run files in use."""
@@ -262,10 +284,9 @@ class KVStore:
         return gone
 
     def _write_table(self, table: Memtable) -> Written | None:
-        rows = [(k, v, v is None, 0) for k, v in table.rows.items()]
-        if not rows:
+        if not table.rows:
             return None
-        done = write_run(self.spark.createDataFrame(rows, OPLOG), self.root, "run", files_for(table.size_bytes, self.options.target_sstable_size_bytes))
+        done = write_run(local_oplog(self.spark, table.rows), self.root, "run", files_for(table.size_bytes, self.options.target_sstable_size_bytes))
         self.cache.add(done.path, done.bytes, table.rows)
         return done
 

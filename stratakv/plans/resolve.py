@@ -35,21 +35,35 @@ def merge(runs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs)
 
 
+def over_base(newest: DataFrame, base: DataFrame) -> DataFrame:
+    """One record a key of newest (unique keys) laid over base (unique keys, all older).
+
+    Base rows pass straight through but for keys that newest has. While newest is small by the
+    planner's own threshold its keys are broadcast and the base, most of the data, is not shuffled.
+    """
+    kept = base.join(newest.select("key"), "key", "left_anti")
+    return newest.select(*base.columns).unionByName(kept)
+
+
 def scan(records: DataFrame, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, limit: int | None = None) -> DataFrame:
     """(key, value) of the range in byte order of the key."""
     rows = visible(latest(restrict(records, lower, upper))).select("key", "value").orderBy("key")
     return rows if limit is None else rows.limit(limit)
 
 
+def named(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """The records that keys name."""
+    return records.join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def multi_get(records: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, value) for each row of keys; value is null if the key is missing or deleted.
 
     The records that the keys do not name are dropped before the newest are sought. The planner
     broadcasts keys if they are small by its own threshold, and shuffles both sides otherwise.
     """
-    wanted = keys.select("key")
-    named = records.join(wanted.distinct(), "key", "left_semi")
-    return wanted.join(visible(latest(named)).select("key", "value"), "key", "left")
+    found = visible(latest(named(records, keys))).select("key", "value")
+    return keys.select("key").join(found, "key", "left")
 
 
 def size_estimate(records: DataFrame) -> DataFrame:

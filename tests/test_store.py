@@ -364,3 +364,20 @@ def test_point_lookups_in_cached_and_large_runs(spark, tmp_path):
         assert all(store.get(k) == want[k] for k in list(want)[:60])
         assert store.get(b"none") is None
         assert store.cache.held <= store.cache.limit
+
+
+def test_a_compacted_store_is_read_without_a_search_for_the_newest(spark, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    store.put_many(frame(spark, [(b"%03d" % i, b"1") for i in range(300)]))
+    store.put_many(frame(spark, [(b"%03d" % i, b"2") for i in range(0, 300, 3)]))
+    plan = lambda: store.scan()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan()
+    store.compact()
+    assert "Window" not in plan()
+    assert plan().count("Exchange") == 1
+    # A small run over the base: its keys are broadcast, the base stays where it is but for the order.
+    store.delete_many(frame(spark, [(b"007", b"-")]).select("key"))
+    store.set("008", "3")
+    assert "BroadcastHashJoin" in plan()
+    got = dict(content(store))
+    assert (b"007" in got, got[b"008"], got[b"009"], len(got)) == (False, b"3", b"2", 299)
