@@ -12,7 +12,7 @@ Equal sets are one class, found by a 128-bit sum of their hashes; classes alone
 Inside a bucket no set of all pairs is made. First every member meets four leaders of its bucket: its
 smallest and largest class, and two chosen by hash. That settles buckets of up to three, and confirmed
 links give components. Buckets that still hold several components are compared in full, pairs of
-blocks of `BLOCK` members a task, each pair of members in its first common bucket only: once on
+blocks of at most `BLOCK` members a task, each pair of members in its first common bucket only: once on
 sketches alone, which tells the few members that may have a link to another component, and then,
 with these members' full sets at hand, exactly. A task returns links that join components it has not
 seen joined, fewer than it has members.
@@ -41,7 +41,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Least estimate: 0.75 less 5.5 standard errors of a mean over SAMPLES samples.
 LEAST = 0.75 - 5.5 * (0.75 * 0.25 / SAMPLES) ** 0.5
-BLOCK = 1024
+#: Most members of a block, and most shingles (8 bytes each) of its members' sets, but for one member.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 SEED = 31
 
 
@@ -276,15 +277,16 @@ def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
 
 def _compare_blocks(docs: DataFrame, members: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): links between the components of members (key, doc, comp)."""
-    sized = materialize(members.groupBy("key").agg(F.count("*").alias("m")), "near-sizes")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    known = reps.select("doc", "n", "sketch", "bands")
+    sized = materialize(members.join(reps.select("doc", "n"), "doc").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("held")), "near-sizes")
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     met = members.join(sized.hint("shuffle_hash"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = met.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "comp")
-    known = reps.select("doc", "n", "sketch", "bands")
     some = materialize(_may_link(_dealt(spread.join(known, "doc"))), "near-may")
     sets = _full_sets(docs, reps, some.select("doc"), id_col, text_col)
-    return materialize(_links(_dealt(some.join(known, "doc").join(sets.select("doc", "shingles"), "doc"), "shingles")), "near-links")
+    full = materialize(known.join(sets.select("doc", "shingles"), "doc"), "near-full")
+    return materialize(_links(_dealt(some.join(full, "doc"), "shingles")), "near-links")
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
