@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, slices
+from .common import _SPACES, map_arrow, slices
 
 END = "</w>"
 #: Code-point shift that marks a word's last symbol.
@@ -37,8 +37,8 @@ FINAL = 0x20000
 #: Stands for the last token of the empty prefix.
 START = (1 << 20) - 1
 #: Distinct words a worker remembers before it forgets the rare ones, and pairs before it starts anew.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 300_000
 #: Letters that, with ASCII, the fast path takes: all are letters, and lower-case one to one.
 PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-įĹ-ňŊ-ž"
 
@@ -286,7 +286,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(bpe.decode_batch(ids, offsets), type=pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "ids", "decoded"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return src.transform(map_arrow, run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, randoms
+from .common import groups, map_arrow, materialize, randoms
 from .components import components
 from .vptree import usable
 
@@ -90,7 +90,7 @@ def bucket_rows(classes: DataFrame, tables: int = TABLES, probes: int = PROBES)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (tables * probes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["cls", "axes"])
 
-    return classes.select("cls", "v").mapInArrow(run, "cls long, axes array<int>")
+    return classes.select("cls", "v").transform(map_arrow, run, "cls long, axes array<int>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -164,7 +164,7 @@ def _compared(classes: DataFrame, tables: int, probes: int) -> DataFrame:
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cls[some], a])), pa.array([None] * len(some) + b.tolist(), pa.int64()), pa.array(np.concatenate([linked[some], np.zeros(len(a), np.int64)]))], names=["cls", "other", "linked"])
 
-    return materialize(dealt.mapInArrow(run, "cls long, other long, linked long"), "cp-links")
+    return materialize(dealt.transform(map_arrow, run, "cls long, other long, linked long"), "cp-links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, probes: int = PROBES) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, randoms, slices, text_bytes
+from .common import map_arrow, materialize, mix64, randoms, slices, text_bytes
 
 SAMPLE_PER_LANG = 400
 #: Most rows of all languages together; each is one vector of BUCKETS numbers on the driver.
@@ -165,7 +165,7 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                     x = [row.tobytes() for row in features(some.column(3))]
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(x, pa.binary())], names=["lang", "h", "t", "x"])
 
-    made = texts.select("lang", "h", "t", "text").mapInArrow(run, "lang string, h long, t long, x binary")
+    made = texts.select("lang", "h", "t", "text").transform(map_arrow, run, "lang string, h long, t long, x binary")
     # At most SAMPLE_ROWS rows, but for rows with the same id and text.
     sample = made.dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").toArrow()
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     part = block.slice(at, 256)
                     yield _judge(part, model)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(map_arrow, run, out)
 
 
 def judge(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -231,4 +231,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     _, _, close = judge(part.column(at), model)
                     yield part.filter(pa.array(~close))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, mix64, randoms, slices, text_bytes, window_hashes, word_hashes
+from .common import groups, map_arrow, materialize, mix64, randoms, slices, text_bytes, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -39,6 +39,8 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
+#: Rows whose sketches are made at once: they pass through 8 bytes a bit.
+SKETCH_ROWS = 1024
 #: Least estimate: 0.75 less 5.5 standard errors of a mean over SAMPLES samples.
 LEAST = 0.75 - 5.5 * (0.75 * 0.25 / SAMPLES) ** 0.5
 #: Most members of a block, and most shingles (8 bytes each) of its members' sets, but for one member.
@@ -96,6 +98,8 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Rows x SKETCH_BITS / 64 words: bit b is the parity of the number of samples that hash to b."""
+    if len(samples) > SKETCH_ROWS:
+        return np.concatenate([odd_sketches(samples[i : i + SKETCH_ROWS]) for i in range(0, len(samples), SKETCH_ROWS)])
     n = len(samples)
     with np.errstate(over="ignore"):
         bit = (mix64(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)
@@ -136,7 +140,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *lists], names=["doc", "n", "f1", "f2", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return rows.transform(map_arrow, run, "doc long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,7 +160,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     some = rows.join(wanted.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi")
-    made = some.mapInArrow(run, "doc long, f1 long, shingles binary")
+    made = some.transform(map_arrow, run, "doc long, f1 long, shingles binary")
     return made.join(wanted.hint("shuffle_hash"), ["doc", "f1"], "left_semi").dropDuplicates(["doc", "f1"])
 
 
@@ -181,7 +185,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return met.mapInArrow(run, "a long, b long")
+    return met.transform(map_arrow, run, "a long, b long")
 
 
 def _odd_bits(x: str, y: str) -> Column:
@@ -234,7 +238,7 @@ def _may_link(spread: DataFrame) -> DataFrame:
             if some.any():
                 yield from group.select(["key", "i", "j", "part", "doc", "comp"]).filter(pa.array(some)).combine_chunks().to_batches()
 
-    return spread.mapInArrow(run, "key long, i int, j int, part int, doc long, comp long")
+    return spread.transform(map_arrow, run, "key long, i int, j int, part int, doc long, comp long")
 
 
 def _links(full: DataFrame) -> DataFrame:
@@ -265,7 +269,7 @@ def _links(full: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+    return full.transform(map_arrow, run, "a long, b long").distinct()
 
 
 BLOCK_KEY = ("key", "i", "j")

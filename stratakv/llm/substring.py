@@ -16,7 +16,9 @@ of each path only the source's copy is taken apart again. Its edges are joined o
 settles the paths at the ends of shared passages, and those that branch. A removed path or edge keeps
 its source document; overlapping ones merge into spans, in the order of positions.
 
-Paths and edges are named by 96 bits, two independent hashes.
+Verification. Paths and edges are named by two independent hashes, 96 bits in all, and a document is
+compared with its source's coordinates by both. verify_spans() compares the words themselves, for
+callers who want that at the price of two more shuffles of the texts.
 
 Defined results: null text has no words; rows with null doc_id take no part and stay; rows with the
 same doc_id are one document for the comparison and are told apart by a hash of their text; fewer
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
+from .common import map_arrow, materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
 
 K, ANCHOR = 50, 16
 #: At most this many anchors (8 bytes each) are broadcast.
@@ -108,7 +110,7 @@ def _repeated_anchors(rows: DataFrame, k: int, anchor: int) -> tuple[DataFrame,
                 row, name = edges.row[edges.first], edges.anchors[edges.first]
                 yield pa.RecordBatch.from_arrays([pa.array(name), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["anchor", "doc", "mark"])
 
-    anchors = rows.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "anchor long, doc long, mark long")
+    anchors = rows.where("doc IS NOT NULL AND text IS NOT NULL").transform(map_arrow, run, "anchor long, doc long, mark long")
     seen = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     return anchors, materialize(seen.where("a < b").select("anchor"), "substring-anchors")
 
@@ -164,32 +166,59 @@ class _Paths:
                             hit[cut[i] : cut[i + 1]] = np.isin(name[cut[i] : cut[i + 1]], np.asarray(part.column(3)[i].values))
                     yield _path_rows(part, edges, np.flatnonzero(hit), opened)
 
-        return self.live.mapInArrow(run, PATH)
+        return self.live.transform(map_arrow, run, PATH)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, most: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc, mark, start, n_words, source_doc): spans whose words smaller documents hold."""
+    """(doc, mark, start, n_words, source_doc, source_start): spans whose words smaller documents hold.
+
+    The source coordinates are those of the span's first path or edge.
+    """
     paths = _Paths(_read(docs, id_col, text_col), k, anchor, most)
-    seen = paths.rows(opened=False).groupBy("p1", "p2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
-    shared = materialize(seen.where("source < last").select("p1", "p2", "source"), "substring-paths")
+    source = [F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last")]
+    seen = paths.rows(opened=False).groupBy("p1", "p2").agg(*source)
+    shared = materialize(seen.where("source < last").drop("last"), "substring-paths")
     met = paths.rows(opened=True).join(shared.hint("shuffle_hash"), ["p1", "p2"], "left")
     later = F.coalesce(F.col("doc") > F.col("source"), F.lit(False))
-    met = met.select("doc", "place", "n", F.when(later, F.col("source")).alias("source"), *[F.when(~later, F.col(c)).alias(c) for c in ("h1", "h2")])
-    met = materialize(met, "substring-met")
+    settled, opened = [F.when(later, F.col(c)).alias(c) for c in ("source", "source_place")], [F.when(~later, F.col(c)).alias(c) for c in ("h1", "h2")]
+    met = materialize(met.select("doc", "place", "n", *settled, *opened), "substring-met")
 
     edges = met.where("source IS NULL").select("doc", "place", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "doc", (F.col("place") + F.col("i")).alias("place"))
-    seen = edges.groupBy("h1", "h2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
-    shared = materialize(seen.where("source < last").select("h1", "h2", "source"), "substring-edges")
-    late = edges.join(shared.hint("shuffle_hash"), ["h1", "h2"]).where("doc > source").select("doc", "place", F.lit(1).alias("n"), "source")
+    seen = edges.groupBy("h1", "h2").agg(*source)
+    shared = materialize(seen.where("source < last").drop("last"), "substring-edges")
+    late = edges.join(shared.hint("shuffle_hash"), ["h1", "h2"]).where("doc > source").select("doc", "place", F.lit(1).alias("n"), "source", "source_place")
 
-    parts = met.where("source IS NOT NULL").select("doc", "place", "n", "source").unionByName(late)
-    parts = parts.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n", "source")
+    parts = met.where("source IS NOT NULL").select("doc", "place", "n", "source", "source_place").unionByName(late)
+    position = F.lit(0xFFFFFFFF)
+    parts = parts.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(position).alias("start"), "n", "source", F.col("source_place").bitwiseAND(position).alias("source_start"))
     order = Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("start") + F.col("n")).over(order)
     numbered = parts.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     numbered = numbered.withColumn("span", F.sum("new").over(Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc", "mark", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("source").alias("source_doc"))
-    return merged.select("doc", "mark", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n_words"), "source_doc")
+    merged = numbered.groupBy("doc", "mark", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min_by("source", "start").alias("source_doc"), F.min_by("source_start", "start").alias("source_start"))
+    return merged.select("doc", "mark", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n_words"), "source_doc", "source_start")
+
+
+def verify_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """spans with a column same: whether the first k words equal those at the source's coordinates.
+
+    Texts are cut to the words that spans name where they are read; only these travel.
+    """
+    rows = _read(docs, id_col, text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = [words_of(t)[a : a + k] for t, a in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([" ".join(w) for w in words], pa.string())], names=[*part.schema.names[1:], "words"])
+
+    places = spans.select("doc", "start").union(spans.select("source_doc", "source_start")).distinct()
+    named = rows.join(places.hint("shuffle_hash"), "doc").select("text", "start", "doc", "mark")
+    found = materialize(named.transform(map_arrow, cut, "start long, doc long, mark long, words string"), "substring-words")
+    mine = found.select("doc", "mark", "start", F.col("words").alias("own_words"))
+    theirs = found.groupBy(F.col("doc").alias("source_doc"), F.col("start").alias("source_start")).agg(F.collect_set("words").alias("source_words"))
+    met = spans.join(mine, ["doc", "mark", "start"]).join(theirs, ["source_doc", "source_start"])
+    return met.withColumn("same", F.array_contains("source_words", F.col("own_words"))).select(*spans.columns, "same")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +243,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                     kept.append(" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return met.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+    return met.transform(map_arrow, run, "id long, n_words long, n_removed long, kept string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

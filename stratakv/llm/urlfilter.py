@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, randoms, slices, text_bytes
+from .common import map_arrow, mix64, randoms, slices, text_bytes
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -131,7 +131,7 @@ def count(labelled: DataFrame) -> Model:
             s = slot[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(sums[s])], names=["slot", "n"])
 
-    summed = labelled.select("url", "cls").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    summed = labelled.select("url", "cls").transform(map_arrow, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     # At most 4 * SLOTS rows of two numbers.
     found = summed.toArrow()
     table = np.zeros(4 * SLOTS)
@@ -153,7 +153,7 @@ def calibrate(model: Model, accepted: DataFrame, loss: float = LOSS) -> float:
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["bin", "n"])
 
-    rows = accepted.select("url").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    rows = accepted.select("url").transform(map_arrow, run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(n_bins, dtype=np.int64)
     for r in rows:
         n[r["bin"]] = r["n"]
@@ -182,7 +182,7 @@ def judge(urls: DataFrame, model: Model) -> DataFrame:
                 known = ~np.asarray(part.column(1).is_null())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(np.where(block & known & m.usable, "block", "allow"))], names=[*part.schema.names, "score", "method"])
 
-    return urls.mapInArrow(run, f"id {kind}, url string, score double, method string")
+    return urls.transform(map_arrow, run, f"id {kind}, url string, score double, method string")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", loss: float = LOSS) -> DataFrame:

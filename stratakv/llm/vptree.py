@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, materialize
+from .common import groups, map_arrow, materialize
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
@@ -185,7 +185,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             parts = [order.size, nodes.tobytes(), np.array(tree.spans).tobytes(), ids[order].tobytes(), data[order].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([group.column("shard")[0].as_py()], pa.int32()), pa.array([parts[0]], pa.int32()), *[pa.array([p], pa.binary()) for p in parts[1:]]], names=["shard", "n", "nodes", "spans", "ids", "data"])
 
-    made = dealt.mapInArrow(run, "shard int, n int, nodes binary, spans binary, ids binary, data binary")
+    made = dealt.transform(map_arrow, run, "shard int, n int, nodes binary, spans binary, ids binary, data binary")
     return materialize(made, "vp-trees"), shards
 
 
@@ -209,7 +209,7 @@ def nearest(trees: DataFrame, shards: int, queries: DataFrame, k: int = 5, facto
         for group in groups(batches, 1):
             yield pa.RecordBatch.from_arrays([pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), pa.array([_matrix(group.column("v")).tobytes()], pa.binary())], names=["qids", "qdata"])
 
-    packs = packed.mapInArrow(pack, "qids binary, qdata binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    packs = packed.transform(map_arrow, pack, "qids binary, qdata binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, loaded = None, None
@@ -225,7 +225,7 @@ def nearest(trees: DataFrame, shards: int, queries: DataFrame, k: int = 5, facto
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, found.sum(axis=1))), pa.array(best.id[found]), pa.array(best.score[found])], names=["query_id", "vec_id", "score"])
 
     met = packs.join(trees.hint("shuffle_hash"), "shard").select("shard", "qids", "qdata", "n", "nodes", "spans", "ids", "data")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = met.transform(map_arrow, run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

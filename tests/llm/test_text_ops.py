@@ -417,11 +417,20 @@ def test_substring_dedup_matches_brute_force(spark, sf):
 
 def test_substring_dedup_without_broadcast(spark, sf):
     docs = documents(spark, sf)
-    spans = substring.repeated_spans(docs, most=0)
-    same = substring.repeated_spans(docs)
+    key = ["doc", "mark", "start", "n_words", "source_doc"]
+    spans = substring.repeated_spans(docs, most=0).select(key)
+    same = substring.repeated_spans(docs).select(key)
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, same.collect()))
 
 
+def test_substring_sources_hold_the_words(spark, sf):
+    docs = documents(spark, sf)
+    spans = substring.repeated_spans(docs)
+    checked = rows(substring.verify_spans(docs, spans))
+    assert len(checked) == spans.count() > 0
+    assert all(r["same"] and r["source_doc"] < r["doc"] for r in checked)
+
+
 def test_substring_dedup_of_shifted_and_branching_passages(spark):
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(200)]
