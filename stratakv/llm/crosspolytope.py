@@ -196,3 +196,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = hashed.join(per_row, ["id", *same], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS v FROM embeddings
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), n AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+), reach AS (
+  SELECT vec_id AS v, vec_id AS r FROM e UNION SELECT links.y, reach.r FROM reach JOIN links ON reach.v = links.x
+), least AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM e LEFT JOIN n ON n.x = e.vec_id JOIN least ON least.v = e.vec_id
+"""

@@ -349,3 +349,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN range(1, 2) ELSE range(0, 0) END) AS p FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * i >= 75 * (p.n + q.n - i)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT ways.y, reach.r FROM reach JOIN ways ON reach.v = ways.x
+), least AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id, d.doc_id = least.component_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least ON least.v = d.doc_id
+"""

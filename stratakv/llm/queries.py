@@ -72,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_odd_sketch": minhash.ORACLE,
     "op2_line_windows": linededup.ORACLE,
     "op4_low_discrepancy_mix": mixing.ORACLE,
+    "op8_cross_polytope": crosspolytope.ORACLE,
+    "op10_de_bruijn_substrings": substring.ORACLE,
 }

@@ -252,3 +252,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def report(cleaned: DataFrame) -> DataFrame:
     return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), late AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM late, (SELECT unnest(range(0, 50)) AS k)
+), gone AS (
+  SELECT doc_id, list(i) AS l, count(*) AS n FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN l IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(l, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
