@@ -19,7 +19,7 @@ from ..plans.bounds import UNBOUNDED, Bound, Excluded, Included, restrict
 from ..plans.sizing import files_for
 from ..schema import local_oplog
 from ..sources.manifest import Manifest, ManifestStore
-from ..sources.runs import RunCache, Written, read_runs, write_run
+from ..sources.runs import RunCache, Written, read_runs, write_run, write_small_run
 from .compaction import CompactionPolicy, FullCompaction, merge_runs
 from .memtable import Memtable, Memtables
 
@@ -286,7 +286,7 @@ class KVStore:
     def _write_table(self, table: Memtable) -> Written | None:
         if not table.rows:
             return None
-        done = write_run(local_oplog(self.spark, table.rows), self.root, "run", files_for(table.size_bytes, self.options.target_sstable_size_bytes))
+        done = write_small_run(table.rows, self.root)
         self.cache.add(done.path, done.bytes, table.rows)
         return done
 
