@@ -7,16 +7,16 @@ winner. A document is ambiguous if the runner-up's loss is within `AMBIGUOUS` of
 is, if the codewords do not tell the two apart.
 
 Fitting uses a bounded sample of labelled rows: at most `SAMPLE_PER_LANG` documents of each
-language, and `SAMPLE_ROWS` in all, those with the smallest hash of their id, so reruns agree. Prediction reads whole texts
-and nothing but text.
+language, and `SAMPLE_ROWS` in all, those with the smallest hash of their id, so reruns agree.
+Prediction reads whole texts and nothing but text.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with no labelled rows
 every row is `und`; with one language all texts with letters get it, with score 1. Rows repeat as
 they come; an empty table gives an empty result; other columns are not read.
 
-Plan: the sample is chosen by a window limited before its shuffle; its features are made on the
-executors, so the driver holds SAMPLE_ROWS vectors at most, however long the texts; the model is (bits x BUCKETS) numbers, whatever the corpus
-holds. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
+Plan: the sample is chosen by a window over the rows of least hash alone, a fixed number; its features
+are made on the executors, so the driver holds SAMPLE_ROWS vectors at most, however long the texts;
+the model is (bits x BUCKETS) numbers, whatever the corpus holds. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
 """
 
 from __future__ import annotations
@@ -150,11 +150,13 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: (id, text, lang). Fits on at most per_lang rows of each language."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     ids = rows.select("lang", F.xxhash64("id", F.lit(3)).alias("h"), F.xxhash64("text").alias("t"))
-    common = materialize(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang"), "lang-names")
+    common = materialize(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.col("count").alias("n_lang")), "lang-names")
     per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, common.count())))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    # The window sees ids only and keeps per_lang a language before it shuffles; texts follow by join.
-    chosen = ids.join(F.broadcast(common), "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t").distinct()
+    # The window sees ids only, and of each language only the least hashes, about twice as many rows as
+    # it keeps; texts follow by join.
+    near = ids.join(F.broadcast(common), "lang").where((F.col("h").cast("double") + 2.0**63) * F.col("n_lang") <= 2.0**64 * (2 * per_lang + 64))
+    chosen = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t").distinct()
     texts = rows.withColumn("h", F.xxhash64("id", F.lit(3))).join(F.broadcast(materialize(chosen, "lang-sample")), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
