@@ -31,7 +31,7 @@ from .common import WORD_PATTERN, materialize
 
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 2048
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 CHUNK_SLOTS = 4096
 
 
