@@ -37,8 +37,8 @@ FINAL = 0x20000
 #: Stands for the last token of the empty prefix.
 START = (1 << 20) - 1
 #: Distinct words a worker remembers before it forgets the rare ones, and pairs before it starts anew.
-CACHE_WORDS = 150_000
-CACHE_PAIRS = 300_000
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 400_000
 #: Letters that, with ASCII, the fast path takes: all are letters, and lower-case one to one.
 PLAIN_LETTERS = "A-Za-zÀ-ÖØ-öø-įĹ-ňŊ-ž"
 
