@@ -8,8 +8,9 @@ the highest the newest. Keys leave as lower-case hex.
 from __future__ import annotations
 
 import os
-import shutil
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -276,14 +277,18 @@ def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new directory in the shared folder; a temporary one only where none is configured."""
+    """A new directory in the shared folder; a machine's own temporary one only in local mode without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        base = root.removeprefix("file://")
-        path = os.path.join(base, next(tempfile._get_candidate_names()))
-        os.makedirs(path)
-        return path
-    return tempfile.mkdtemp(prefix="stratakv-")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix="stratakv-")
+    path = root.removeprefix("file://")
+    if "://" in path:
+        raise ValueError("a store needs a POSIX file system that driver and executors share")
+    path = os.path.join(path, f"kv-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
 
 def _filled(spark: SparkSession, sf_dir: str):
