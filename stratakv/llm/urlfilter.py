@@ -12,37 +12,44 @@ which is calibrated on accepted URLs kept out of the counts: at most `LOSS` of t
 
 In the query, URLs under a block rule are the rejected ones, and all others (allowed or unknown) the
 accepted ones: what looks far more like blocked URLs than like the rest is blocked. Counts cover all
-URLs but the calibration fold (CRC-32 of the URL modulo 5 is 0). They are kept in `SLOTS` hashed
-counters a class, a fixed size, whatever the corpus holds.
+URLs but the calibration fold (CRC-32 of the URL modulo 5 is 0). They are exact: an n-gram is its own
+key (five symbols of nine bits), in a table that grows with the distinct n-grams of the input.
 
 Defined results: null URLs, and URLs without `://`, have empty host and path, match no rule and are
 allowed; an empty class (no rejected or no accepted URL) allows all URLs without a rule; repeated
 rows are judged alike; an empty table gives an empty result. Other columns are not read.
 
-Plan: one narrow pass counts n-grams into a dense table per task; non-zero counters are summed by
-slot and reach the driver as two fixed-size arrays, which are broadcast. A second narrow pass makes
-a histogram of scores of the calibration fold, and a third judges. Nothing is keyed by host, so a
-host with a third of all URLs changes nothing.
+Plan: what a byte adds to the score depends on the ORDER bytes that end there alone. One narrow pass
+counts these n-grams by class, and a shuffle sums them; shorter ones are sums of longer ones, and the
+probabilities are built from short to long by joins on the context and on the shorter n-gram, which at
+most 257 rows share. The n-grams with the most occurrences, `HOT` at most, are broadcast and added up
+where the URLs are; occurrences of all others are joined with the table and summed by row. Whatever is
+broadcast, scores are the same: they are added as whole numbers. Nothing is keyed by host, so a host
+with a third of all URLs changes nothing; no n-gram left to the join has more than 2 / `HOT` of all
+occurrences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_arrow, mix64, randoms, slices, text_bytes
+from .common import map_arrow, materialize, slices, text_bytes
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 ORDER = 5
-SLOTS = 1 << 19
 SMOOTH = 2.0
 LOSS = 0.01
+#: Most n-grams that are broadcast; the rest are joined.
+HOT = 1 << 16
+#: A symbol's bits in an n-gram's key, and the whole number that stands for 1 in a sum of log-ratios.
+BITS, UNIT = 9, 2.0**30
 #: Width of a bin of the scores' histogram, and its range either way.
 BIN, RANGE = 0.002, 8.0
 
@@ -65,144 +72,162 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def grams(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Slots of each byte's n-grams and of their contexts, for orders 0 to ORDER - 1, and row offsets.
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the ORDER bytes that end at each byte, the last one lowest; and row offsets.
 
     Each row is read after ORDER - 1 marks, so its first bytes have contexts too.
     """
     raw, offsets = text_bytes(texts)
     pad = ORDER - 1
     rows = len(offsets) - 1
-    data = np.full(len(raw) + pad * rows, 1, dtype=np.uint64)
+    data = np.full(len(raw) + pad * rows, 1, dtype=np.int64)
     at = np.arange(len(raw)) + np.repeat((np.arange(rows) + 1) * pad, np.diff(offsets))
-    data[at] = raw.astype(np.uint64) + np.uint64(2)
-    multipliers = randoms(303, ORDER)
-    full, context = [], []
-    with np.errstate(over="ignore"):
-        past = np.zeros(len(at), dtype=np.uint64)
-        for n in range(ORDER):
-            if n:
-                past = past + data[at - n] * multipliers[n]
-            base = past + np.uint64(n * 1_000_003)
-            context.append((mix64(base) % np.uint64(SLOTS)).astype(np.int64))
-            full.append((mix64(base + data[at] * multipliers[0]) % np.uint64(SLOTS)).astype(np.int64))
-    return full, context, offsets
-
-
-@dataclass
-class Model:
-    """Per class: counts of n-grams and of contexts, by slot; and the threshold."""
-
-    full: np.ndarray
-    context: np.ndarray
-    threshold: float = np.inf
-
-    @property
-    def usable(self) -> bool:
-        return bool((self.full.sum(axis=1) > 0).all())
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Rejected less accepted log-likelihood, by length. Class 1 is the rejected one."""
-        full, context, offsets = grams(texts)
-        ratio = np.zeros(len(full[0]))
-        for cls, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(full[0]), 1 / 256)
-            for n in range(ORDER):
-                p = (self.full[cls][full[n]] + SMOOTH * p) / (self.context[cls][context[n]] + SMOOTH)
-            ratio += sign * np.log(np.minimum(p, 1.0))
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        length = np.diff(offsets)
-        return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(length, 1)
-
-
-def count(labelled: DataFrame) -> Model:
-    """labelled: (url, cls); cls 1: rejected, 0: accepted. Counts over all rows."""
+    data[at] = raw.astype(np.int64) + 2
+    key = np.zeros(len(at), dtype=np.int64)
+    for n in range(ORDER):
+        key |= data[at - n] << (BITS * n)
+    return key, offsets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(4 * SLOTS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "url", 1 << 20):
-                full, context, offsets = grams(part.column(0))
-                cls = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
-                for n in range(ORDER):
-                    sums += np.bincount(np.concatenate([cls * SLOTS + full[n], (cls + 2) * SLOTS + context[n]]), minlength=4 * SLOTS)
-        slot = np.flatnonzero(sums)
-        for i in range(0, len(slot), 65536):
-            s = slot[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(sums[s])], names=["slot", "n"])
-
-    summed = labelled.select("url", "cls").transform(map_arrow, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    # At most 4 * SLOTS rows of two numbers.
-    found = summed.toArrow()
-    table = np.zeros(4 * SLOTS)
-    table[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    table = table.reshape(4, SLOTS).astype(np.float32)
-    return Model(table[:2], table[2:])
-
-
-def calibrate(model: Model, accepted: DataFrame, loss: float = LOSS) -> float:
-    """The least bin edge with at most a share loss of the accepted URLs' scores above it."""
-    shared = accepted.sparkSession.sparkContext.broadcast(model)
-    n_bins = int(2 * RANGE / BIN) + 1
+
+def count(labelled: DataFrame) -> DataFrame:
+    """labelled: (url, cls); cls 1: rejected, 0: accepted, null: not learned from.
+
+    (g, n, n0, n1): each n-gram of the URLs, its occurrences, and those in either class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(n_bins, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "url", 1 << 20):
-                sums += np.bincount(_bins(shared.value.scores(part.column(0))), minlength=n_bins)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["bin", "n"])
-
-    rows = accepted.select("url").transform(map_arrow, run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(n_bins, dtype=np.int64)
-    for r in rows:
-        n[r["bin"]] = r["n"]
-    if not n.sum():
-        return float("inf")
-    above = n[::-1].cumsum()[::-1]  # rows in this bin or a higher one
-    first = int(np.flatnonzero(above <= loss * n.sum())[0]) if (above <= loss * n.sum()).any() else n_bins
-    return first * BIN - RANGE
+                key, offsets = grams(part.column(0))
+                cls = np.repeat(part.column(1).fill_null(2).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
+                g, at = np.unique(key, return_inverse=True)
+                n = np.bincount(at * 3 + cls, minlength=3 * len(g)).reshape(-1, 3)
+                for i in range(0, len(g), 65536):
+                    s = slice(i, i + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[s], n[s].sum(axis=1), n[s, 0], n[s, 1])], names=["g", "n", "n0", "n1"])
 
+    found = labelled.select("url", F.col("cls").cast("int").alias("cls")).transform(map_arrow, run, "g long, n long, n0 long, n1 long")
+    return found.groupBy("g").agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1")))
 
-def _bins(scores: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((scores + RANGE) / BIN), 0, int(2 * RANGE / BIN)).astype(np.int64)
 
+def log_ratios(counts: DataFrame) -> DataFrame | None:
+    """counts: (g, n, n0, n1). (g, n, r): log of g's last byte's probability, rejected less accepted, in UNITs.
 
-def judge(urls: DataFrame, model: Model) -> DataFrame:
-    """(id, url, known, score, method): method is allow or block."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    kind = urls.schema["id"].dataType.simpleString()
+    None if a class is empty.
+    """
+    levels = [counts]
+    for n in range(ORDER - 2, -1, -1):
+        shorter = levels[0].groupBy(_last(n + 1).alias("g")).agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1")))
+        levels.insert(0, materialize(shorter, f"url-grams-{n + 1}"))
+    total = levels[0].agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    if not total["n0"] or not total["n1"]:
+        return None
+    p = levels[0].select("g", "n", *((F.col(f"n{c}") + SMOOTH / 256) / (total[f"n{c}"] + SMOOTH) for c in (0, 1))).toDF("g", "n", "p0", "p1")
+    for n in range(1, ORDER):
+        rows = levels[n].select("g", "n", "n0", "n1", F.shiftright("g", BITS).alias("context"), _last(n).alias("shorter"))
+        context = rows.groupBy("context").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
+        both = rows.join(context, "context").join(p.select(F.col("g").alias("shorter"), "p0", "p1"), "shorter")
+        p = both.select("g", "n", *((F.col(f"n{c}") + SMOOTH * F.col(f"p{c}")) / (F.col(f"all{c}") + SMOOTH) for c in (0, 1))).toDF("g", "n", "p0", "p1")
+    return p.select("g", "n", F.round((F.log("p1") - F.log("p0")) * UNIT).cast("long").alias("r"))
+
+
+def _last(n: int) -> Column:
+    return F.col("g").bitwiseAND(F.lit((1 << (BITS * n)) - 1))
+
+
+def _hot(ratios: DataFrame, hot: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Keys and log-ratios of the n-grams with at least `least` occurrences, hot of them at most."""
+    by_size = {r["size"]: r["count"] for r in ratios.groupBy(F.length(F.bin("n")).alias("size")).count().collect()}
+    size, held = max(by_size, default=0) + 1, 0
+    while size > 1 and held + by_size.get(size - 1, 0) <= hot:
+        size -= 1
+        held += by_size.get(size, 0)
+    least = 1 << (size - 1)
+    found = ratios.where(F.col("n") >= least).select("g", "r").toArrow()  # hot rows at most
+    key, r = found.column("g").to_numpy(), found.column("r").to_numpy()
+    order = np.argsort(key)
+    return least, key[order], r[order]
+
+
+def score(rows: DataFrame, ratios: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows: (at, url, ...), at unique. With score: rejected less accepted log-likelihood, by length."""
+    least, keys, values = _hot(ratios, hot)
+    shared = rows.sparkSession.sparkContext.broadcast((keys, values))
+
+    def find(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        key, offsets = grams(texts)
+        keys, values = shared.value
+        at = np.searchsorted(keys, key)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == key[known]
+        out = np.zeros(len(key), dtype=np.int64)
+        out[known] = values[at[known]]
+        return key, offsets, known, out
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "url", 1 << 20):
+                _, offsets, _, out = find(part.column(1))
+                sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(out)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sums[offsets[1:]] - sums[offsets[:-1]])], names=[*part.schema.names, "near"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "url", 1 << 20):
-                score = m.scores(part.column(1)) if m.usable else np.zeros(part.num_rows)
-                block = _bins(score) * BIN - RANGE >= m.threshold - BIN / 2
-                known = ~np.asarray(part.column(1).is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(np.where(block & known & m.usable, "block", "allow"))], names=[*part.schema.names, "score", "method"])
+                key, offsets, known, _ = find(part.column(1))
+                owner = np.repeat(part.column(0).to_numpy(), np.diff(offsets))[~known]
+                key = key[~known]
+                for i in range(0, len(key), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[i : i + 65536]), pa.array(key[i : i + 65536])], names=["at", "g"])
+
+    rest = rows.select("at", "url").transform(map_arrow, far, "at long, g long").join(ratios.where(F.col("n") < least).select("g", "r"), "g")
+    sums = rest.groupBy("at").agg(F.sum("r").alias("far"))
+    first = rows.select("at", "url", *(c for c in rows.columns if c not in ("at", "url")))
+    near_rows = first.transform(map_arrow, near, StructType([*first.schema.fields, StructField("near", LongType())]))
+    total = (F.col("near") + F.coalesce("far", F.lit(0))) / UNIT
+    length = F.greatest(F.coalesce(F.octet_length("url"), F.lit(0)), F.lit(1))
+    return near_rows.join(sums, "at", "left").withColumn("score", total / length).drop("near", "far")
+
+
+def calibrate(scored: DataFrame, loss: float = LOSS) -> int:
+    """scored: accepted URLs. The least bin with at most a share loss of the scores in it or above it."""
+    n_bins = int(2 * RANGE / BIN) + 1
+    n = np.zeros(n_bins, dtype=np.int64)
+    for r in scored.groupBy(_bin(F.col("score")).alias("bin")).count().collect():  # n_bins rows at most
+        n[r["bin"]] = r["count"]
+    above = n[::-1].cumsum()[::-1]
+    fits = np.flatnonzero(above <= loss * n.sum())
+    return int(fits[0]) if n.sum() and len(fits) else n_bins
+
 
-    return urls.transform(map_arrow, run, f"id {kind}, url string, score double, method string")
+def _bin(score: Column) -> Column:
+    return F.least(F.greatest(F.floor((score + RANGE) / BIN), F.lit(0)), F.lit(int(2 * RANGE / BIN))).cast("int")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", loss: float = LOSS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", loss: float = LOSS, hot: int = HOT) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) for each row."""
-    urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    host, path = split_url(F.col("url"))
+    url = F.col("url")
+    host, path = split_url(url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
 
     def ruled(rows: DataFrame) -> DataFrame:
         split = rows.withColumn("host", host).withColumn("path", path)
         return split.withColumn("rule", rule).withColumn("said", verdict)
 
-    seeds = ruled(urls.where("url IS NOT NULL AND instr(url, '://') > 0")).withColumn("cls", F.when(F.col("said") == "block", 1).otherwise(0))
-    fold = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = count(seeds.where(~fold))
-    if model.usable:
-        model.threshold = calibrate(model, seeds.where(fold & (F.col("cls") == 0)), loss)
-    judged = ruled(judge(urls, model))
-    method = F.when(F.instr("url", "://") > 0, F.col("method")).otherwise("allow")
-    return judged.select(F.col("id").alias("page_id"), "url", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("said", method).alias("verdict"), "score")
+    # Kept: at is another number in each run of a plan.
+    rows = materialize(pages.select(F.monotonically_increasing_id().alias("at"), F.col(url_col).alias("url"), F.col(id_col).alias("id")), "urls")
+    seed = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
+    fold = F.crc32(url.cast("binary")) % 5 == 0
+    blocked = F.coalesce(F.col("said") == "block", F.lit(False))
+    learned = ruled(rows).select("url", F.when(seed & ~fold, blocked.cast("int")).alias("cls"))
+    ratios = log_ratios(materialize(count(learned), f"url-grams-{ORDER}"))
+    if ratios is None:
+        judged = ruled(rows).withColumn("score", F.lit(0.0)).withColumn("method", F.lit("allow"))
+    else:
+        scored = materialize(score(rows, materialize(ratios, "url-ratios"), hot), "url-scores")
+        first = calibrate(ruled(scored).where(seed & fold & ~blocked), loss)
+        judged = ruled(scored).withColumn("method", F.when(seed & (_bin(F.col("score")) >= first), "block").otherwise("allow"))
+    return judged.select(F.col("id").alias("page_id"), "url", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("said", "method").alias("verdict"), "score")
 
 
 #: The rules of the registered query.

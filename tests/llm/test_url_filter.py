@@ -1,7 +1,11 @@
 """Rules by hand, and the character models on URLs whose class is plain."""
 
+import math
 import random
+from collections import Counter
+from zlib import crc32
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratakv.llm import urlfilter
@@ -70,3 +74,33 @@ def test_the_query_covers_all_pages(spark, sf):
     got = QUERIES["op6_url_character_models"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert {r["verdict"] for r in got} <= {"allow", "block"}
+
+
+@pytest.mark.parametrize("hot", [0, 1000, urlfilter.HOT])
+def test_scores_count_the_ngrams_themselves(spark, hot):
+    """Random URLs, some 300 000 distinct n-grams: the scores of plain dictionaries of counts."""
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice(['a.bad', 'b.org'])}/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789é", k=60)) for _ in range(2000)]
+    rows = list(enumerate([*urls, urls[0], "no scheme", "", None]))
+    got = judged(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad", "/")], hot=hot)
+
+    def windows(url):
+        padded = [-1] * 4 + list(url.encode())
+        return [tuple(padded[i - 4 : i + 1]) for i in range(4, len(padded))]
+
+    full, context = (Counter(), Counter()), (Counter(), Counter())
+    for url in [*urls, urls[0]]:
+        if crc32(url.encode()) % 5:
+            cls = int(url.startswith("http://a.bad/"))
+            for w in windows(url):
+                full[cls].update(w[4 - n :] for n in range(5))
+                context[cls].update((n, w[4 - n : 4]) for n in range(5))
+    for i, url in rows:
+        want = 0.0
+        for w in windows(url or ""):
+            for cls in (0, 1):
+                p = 1 / 256
+                for n in range(5):
+                    p = (full[cls][w[4 - n :]] + 2 * p) / (context[cls][n, w[4 - n : 4]] + 2)
+                want += math.log(p) if cls else -math.log(p)
+        assert got[i]["score"] == pytest.approx(want / max(1, len((url or "").encode())), abs=1e-6), (i, url)
