@@ -6,8 +6,9 @@ bits' margins against its codeword, and the smallest sum wins. The score is the
 winner. A document is ambiguous if the runner-up's loss is within `AMBIGUOUS` of the winner's, that
 is, if the codewords do not tell the two apart.
 
-Fitting uses a bounded sample of labelled rows: at most `SAMPLE_PER_LANG` documents of each
-language, and `SAMPLE_ROWS` in all, those with the smallest hash of their id, so reruns agree.
+All languages of the labelled rows are learned. Fitting uses a bounded sample of these rows: at most
+`SAMPLE_PER_LANG` documents of each language, and `SAMPLE_ROWS` in all but never less than one of each,
+those with the smallest hash of their id, so reruns agree.
 Prediction reads whole texts and nothing but text.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with no labelled rows
@@ -15,8 +16,9 @@ every row is `und`; with one language all texts with letters get it, with score
 they come; an empty table gives an empty result; other columns are not read.
 
 Plan: the sample is chosen by a window over the rows of least hash alone, a fixed number; its features
-are made on the executors, so the driver holds SAMPLE_ROWS vectors at most, however long the texts;
-the model is (bits x BUCKETS) numbers, whatever the corpus holds. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
+are made on the executors, so the driver holds SAMPLE_ROWS vectors, or one a language where there are more languages, however
+long the texts; the model is (bits x BUCKETS) numbers, bits growing with the logarithm of the number of
+languages. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
 """
 
 from __future__ import annotations
@@ -33,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, mix64, randoms, slices, text_bytes
 
 SAMPLE_PER_LANG = 400
-#: Most rows of all languages together; each is one vector of BUCKETS numbers on the driver.
+#: Most rows of all languages together, unless there are more languages; each is one vector of BUCKETS
+#: numbers on the driver.
 SAMPLE_ROWS = 8192
-#: Most languages that are learned: those with the most documents in the training rows.
-MOST_LANGS = 256
+#: Beyond this many languages the first random words that are far apart do.
+FEW_LANGS = 256
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.05
@@ -97,14 +100,27 @@ def codewords(n: int) -> np.ndarray:
     best, apart = None, -1
     for trial in range(64):
         words = np.where(randoms(500 + trial, n * length).reshape(n, length) >> np.uint64(40) & np.uint64(1), 1, -1).astype(np.int8)
-        gram = words.astype(int) @ words.T
-        np.fill_diagonal(gram, -length)
-        distance = (length - gram.max()) // 2
-        if distance > apart and (np.abs(words.sum(axis=0)) < n).all():
+        distance = _least_distance(words)
+        if distance > apart and (np.abs(words.sum(axis=0, dtype=np.int64)) < n).all():
             best, apart = words, distance
+        if n > FEW_LANGS and apart >= length // 8:
+            break
     return best
 
 
+def _least_distance(words: np.ndarray) -> int:
+    """Least number of bits in which two rows of +1 and -1 differ; a block of products at a time."""
+    n, length = words.shape
+    signs = words.astype(np.float32)
+    step = max(1, (1 << 22) // n)
+    nearest = -length
+    for at in range(0, n, step):
+        gram = signs[at : at + step] @ signs.T
+        gram[np.arange(len(gram)), np.arange(at, at + len(gram))] = -length
+        nearest = max(nearest, int(gram.max()))
+    return (length - nearest) // 2
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -125,7 +141,8 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     codes = codewords(len(names))
     if len(names) < 2:
         return Model(names, codes, np.zeros((BUCKETS, 0)), np.zeros(0))
-    y = np.array([names.index(v) for v in langs])
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[v] for v in langs])
     share = 1.0 / (np.bincount(y)[y] * len(names))  # each language weighs the same
     target = codes[y].astype(np.float32)
     w, b = np.zeros((BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
@@ -147,15 +164,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """labelled: (id, text, lang). Fits on at most per_lang rows of each language."""
+    """labelled: (id, text, lang). Fits on at most per_lang rows of each language, and on one at least."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     ids = rows.select("lang", F.xxhash64("id", F.lit(3)).alias("h"), F.xxhash64("text").alias("t"))
-    common = materialize(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.col("count").alias("n_lang")), "lang-names")
-    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, common.count())))
+    names = materialize(ids.groupBy("lang").agg(F.count("*").alias("n_lang")), "lang-names")
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, names.count())))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     # The window sees ids only, and of each language only the least hashes, about twice as many rows as
     # it keeps; texts follow by join.
-    near = ids.join(F.broadcast(common), "lang").where((F.col("h").cast("double") + 2.0**63) * F.col("n_lang") <= 2.0**64 * (2 * per_lang + 64))
+    near = ids.join(F.broadcast(names), "lang").where((F.col("h").cast("double") + 2.0**63) * F.col("n_lang") <= 2.0**64 * (2 * per_lang + 64))
     chosen = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t").distinct()
     texts = rows.withColumn("h", F.xxhash64("id", F.lit(3))).join(F.broadcast(materialize(chosen, "lang-sample")), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
 
@@ -168,7 +185,7 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(x, pa.binary())], names=["lang", "h", "t", "x"])
 
     made = texts.select("lang", "h", "t", "text").transform(map_arrow, run, "lang string, h long, t long, x binary")
-    # At most SAMPLE_ROWS rows, but for rows with the same id and text.
+    # At most SAMPLE_ROWS rows, or one a language, but for rows with the same id and text.
     sample = made.dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").toArrow()
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
     return fit(x, sample.column("lang").to_pylist())

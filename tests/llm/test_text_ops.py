@@ -1,10 +1,12 @@
 """Operators on documents against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,6 +387,29 @@ def test_codewords_are_far_apart():
         assert distance >= (3 if n > 5 else 1)
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    """300 languages, each of words of its own; also where the sample has but one row for each."""
+    rng = random.Random(5)
+    vocabulary = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5)] for i in range(300)}
+    data = [(4 * i + j, " ".join(rng.choices(v, k=30)), lang) for i, (lang, v) in enumerate(vocabulary.items()) for j in range(4)]
+    df = spark.createDataFrame(data, "id long, text string, lang string")
+    texts = pa.array([t for _, t, _ in data])
+    for most in (langid.SAMPLE_ROWS, 100):
+        monkeypatch.setattr(langid, "SAMPLE_ROWS", most)
+        model = langid.train(df)
+        assert model.langs == sorted(vocabulary)
+        found, _, _ = langid.judge(texts, model)
+        assert sum(a == lang for a, (_, _, lang) in zip(found, data, strict=True)) >= 0.97 * len(data)
+
+
+def test_codewords_of_many_languages():
+    for n in (257, 3000):
+        c = langid.codewords(n).astype(np.float32)
+        gram = c @ c.T
+        np.fill_diagonal(gram, -c.shape[1])
+        assert (c.shape[1] - gram.max()) / 2 >= c.shape[1] // 8
+
+
 # -- op10 -----------------------------------------------------------------------------------------
 
 
