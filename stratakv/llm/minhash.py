@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import groups, map_arrow, materialize, mix64, randoms, slices, text_bytes, window_hashes, word_hashes
 from .components import components
@@ -114,6 +115,17 @@ def most_odd_bits() -> int:
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS))))
 
 
+def set_names(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums of hashes of each row's set; 0 for the empty set."""
+    has = np.diff(offsets) > 0
+    f1, f2 = np.zeros(len(has), np.uint64), np.zeros(len(has), np.uint64)
+    if has.any():
+        with np.errstate(over="ignore"):
+            f1[has] = np.add.reduceat(mix64(sets), offsets[:-1][has])
+            f2[has] = np.add.reduceat(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), offsets[:-1][has])
+    return f1, f2
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n, f1, f2, bands, sketch) of each row; f1 and f2 name the set."""
 
@@ -124,12 +136,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 n = np.diff(offsets)
                 has = n > 0
                 starts = offsets[:-1][has]
-                f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                f1, f2 = set_names(sets, offsets)
                 bands, sketch = np.zeros((0, BANDS), np.int64), np.zeros((0, SKETCH_BITS // 64), np.int64)
                 if len(starts):
-                    with np.errstate(over="ignore"):
-                        f1[has] = np.add.reduceat(mix64(sets), starts)
-                        f2[has] = np.add.reduceat(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), starts)
                     samples = signatures(sets, offsets)
                     bands, sketch = band_keys(samples), odd_sketches(samples)
                 lists = []
@@ -342,9 +351,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest document of each group of near duplicates."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-gone").withColumnRenamed("doc_id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left_anti")
+    """docs without all but the smallest document of each group of near duplicates.
+
+    Of rows with the same id and set one stays. Rows with null id are documents of their own here, which
+    come after all others.
+    """
+    named = _with_nodes(docs, id_col)
+    found = near_duplicates(named, "_node", text_col)
+    gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    kept = named.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("_node") == F.col("_gone_id"), "left_anti")
+    often = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_node")), "near-repeated")
+    if often.isEmpty():
+        return kept.select(*docs.columns)
+    several = kept.join(often, "_node", "left_semi").select(*kept.columns)
+    nth = F.row_number().over(Window.partitionBy("_node", "_f1", "_f2").orderBy(text_col, F.xxhash64(*docs.columns)))
+    once = _with_set_names(several, text_col).withColumn("_nth", nth).where("_nth = 1")
+    return kept.join(often, "_node", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def _with_nodes(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with _node: the id; for rows without one, numbers that are no row's id, the largest if they fit."""
+    node = F.col(id_col).cast("long")
+    named = docs.withColumn("_node", node)
+    # Kept: at is another number in each run of a plan.
+    orphans = materialize(docs.where(node.isNull()).withColumn("_at", F.monotonically_increasing_id()), "near-orphans")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = orphans.groupBy(part.alias("part")).count().orderBy("part").collect()
+    if not parts:
+        return named
+    total = sum(r["count"] for r in parts)
+    ends = docs.agg(F.min(node).alias("lo"), F.max(node).alias("hi")).first()
+    lo, hi = (ends["lo"], ends["hi"]) if ends["hi"] is not None else (0, 0)
+    start = hi + 1 if hi + total < 1 << 63 else lo - total
+    if start < -(1 << 63):
+        raise ValueError("no room beside the ids for rows without one")
+    starts = []
+    for r in parts:
+        starts.append((r["part"], start))
+        start += r["count"]
+    first = docs.sparkSession.createDataFrame(starts, "_part long, _first long")
+    numbered = orphans.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("_node", F.col("_first") + at)
+    return named.where(node.isNotNull()).unionByName(numbered.select(*docs.columns, "_node"))
+
+
+def _with_set_names(rows: DataFrame, text_col: str) -> DataFrame:
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                f1, f2 = set_names(*shingles(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=[*part.schema.names, "_f1", "_f2"])
+
+    return rows.transform(map_arrow, run, StructType([*rows.schema.fields, StructField("_f1", LongType()), StructField("_f2", LongType())]))
 
 
 def report(found: DataFrame) -> DataFrame:

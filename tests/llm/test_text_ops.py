@@ -122,6 +122,15 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, and copies without an id."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    data = [(1, a), (1, a), (1, a.upper()), (2, a), (1, b), (None, b), (None, c), (None, c), (None, c + "more"), (None, None), (7, "")]
+    data += [(7, ""), (10, "one two")]
+    kept = minhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter((r["doc_id"], (r["text"] or "")[:1].lower()) for r in kept.collect()) == Counter({(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (None, ""): 1, (7, ""): 1, (10, "o"): 1})
+
+
 def test_odd_sketch_estimates(spark):
     """Sketch distances follow the share of differing samples."""
     rng = np.random.default_rng(1)
