@@ -8,16 +8,16 @@ is, if the codewords do not tell the two apart.
 
 All languages of the labelled rows are learned. Fitting uses a bounded sample of these rows: at most
 `SAMPLE_PER_LANG` documents of each language, and `SAMPLE_ROWS` in all but never less than one of each,
-those with the smallest hash of their id, so reruns agree.
+chosen by hashes of id and text, so reruns agree. Repeated rows count once; null and repeated ids are fine.
 Prediction reads whole texts and nothing but text.
 
 Defined results: null text, and text without a letter, is `und` with score 0; with no labelled rows
 every row is `und`; with one language all texts with letters get it, with score 1. Rows repeat as
 they come; an empty table gives an empty result; other columns are not read.
 
-Plan: the sample is chosen by a window over the rows of least hash alone, a fixed number; its features
-are made on the executors, so the driver holds SAMPLE_ROWS vectors, or one a language where there are more languages, however
-long the texts; the model is (bits x BUCKETS) numbers, bits growing with the logarithm of the number of
+Plan: the sample is an aggregate, a row for each slot of a language, combined before the shuffle; its
+features are made on the executors, so the driver holds SAMPLE_ROWS vectors, or one a language where there
+are more languages, however long the texts; the model is (bits x BUCKETS) numbers, bits growing with the logarithm of the number of
 languages. Prediction is one narrow pass in Arrow batches, vectorised over all bytes of a slice.
 """
 
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, mix64, randoms, slices, text_bytes
 
 SAMPLE_PER_LANG = 400
+#: Slots for each row of a language's sample.
+SPREAD = 4
 #: Most rows of all languages together, unless there are more languages; each is one vector of BUCKETS
 #: numbers on the driver.
 SAMPLE_ROWS = 8192
@@ -163,18 +165,30 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def sample(labelled: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, h, t): hashes of at most per_lang distinct rows of each language, and of one at least.
+
+    Rows fall into `SPREAD` * per_lang slots of their language by a hash of id and text; of a slot the row
+    with the least hash stays, and of a language the per_lang least of these. Copies of a row share a slot
+    and a hash, so however many there are they count once, and no row is left out for its id.
+    """
+    h, t = F.xxhash64("id", "text", F.lit(3)), F.xxhash64("text")
+    named = labelled.select("lang", h.alias("h"), t.alias("t"))
+    slot = F.pmod(F.xxhash64("h", "t", F.lit(4)), F.lit(SPREAD * per_lang)).cast("int")
+    least = named.groupBy("lang", slot.alias("slot")).agg(F.min("h").alias("h"), F.min_by("t", "h").alias("t"))
+    # At most SPREAD * per_lang rows a language, whatever the language holds.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    return least.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t")
+
+
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: (id, text, lang). Fits on at most per_lang rows of each language, and on one at least."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    ids = rows.select("lang", F.xxhash64("id", F.lit(3)).alias("h"), F.xxhash64("text").alias("t"))
-    names = materialize(ids.groupBy("lang").agg(F.count("*").alias("n_lang")), "lang-names")
-    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, names.count())))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    # The window sees ids only, and of each language only the least hashes, about twice as many rows as
-    # it keeps; texts follow by join.
-    near = ids.join(F.broadcast(names), "lang").where((F.col("h").cast("double") + 2.0**63) * F.col("n_lang") <= 2.0**64 * (2 * per_lang + 64))
-    chosen = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "h", "t").distinct()
-    texts = rows.withColumn("h", F.xxhash64("id", F.lit(3))).join(F.broadcast(materialize(chosen, "lang-sample")), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
+    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, n_langs)))
+    chosen = materialize(sample(rows, per_lang), "lang-sample")
+    # The sample is bounded: SAMPLE_ROWS rows of three columns, or one a language.
+    texts = rows.withColumn("h", F.xxhash64("id", "text", F.lit(3))).join(F.broadcast(chosen), ["lang", "h"]).where(F.xxhash64("text") == F.col("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +198,15 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                     x = [row.tobytes() for row in features(some.column(3))]
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(x, pa.binary())], names=["lang", "h", "t", "x"])
 
-    made = texts.select("lang", "h", "t", "text").transform(map_arrow, run, "lang string, h long, t long, x binary")
-    # At most SAMPLE_ROWS rows, or one a language, but for rows with the same id and text.
-    sample = made.dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
-    return fit(x, sample.column("lang").to_pylist())
+    # Copies of a chosen row are one again before their vectors are made.
+    one = texts.groupBy("lang", "h", "t").agg(F.first("text").alias("text"))
+    made = materialize(one.transform(map_arrow, run, "lang string, h long, t long, x binary"), "lang-vectors")
+    # Row by row into one array: at most SAMPLE_ROWS vectors, or one a language.
+    x, langs = np.empty((made.count(), BUCKETS), dtype=np.float32), []
+    for row in made.orderBy("lang", "h", "t").toLocalIterator():
+        x[len(langs)] = np.frombuffer(row["x"], dtype=np.float32)
+        langs.append(row["lang"])
+    return fit(x, langs)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,26 +1,36 @@
 """Approximate nearest neighbours by cosine: one vantage-point tree per shard.
 
 Vectors are scaled to length one; the distance between them is the chord, a metric that ranks as the
-cosine does. A tree splits its vectors at the median distance from a vantage point, and keeps for
-both halves the smallest and largest of these distances. By the triangle inequality a half cannot
-hold anything nearer than `lack`, the amount by which the query's distance from the vantage point
-misses the half's interval. A half is skipped if lack * factor exceeds the distance of the k-th best
-so far. Factor one skips nothing that could count and so gives exact results; larger factors skip
-more. Queries descend in blocks: a node serves all queries that reach it at once.
+cosine does. A tree splits its vectors at the median distance from a vantage point (of a few tried,
+the one whose distances spread most), and keeps for both halves the smallest and largest of these
+distances. By the triangle inequality a half cannot hold anything nearer than `lack`, the amount by
+which the query's distance from the vantage point misses the half's interval. A half is skipped if
+lack * factor exceeds the distance of the k-th best so far. Factor one skips nothing that could count
+and so gives exact results; larger factors skip more. Queries descend in blocks: a node serves all
+queries that reach it at once.
+
+How much a factor skips, and loses, depends on the vectors: where they have structure a small one
+skips most of a tree, where they have none only a large one skips anything. So each tree brings its
+own factor: the largest of `FACTORS` that finds `RECALL` of the neighbours of some of its own rows.
+Callers may give one instead, 1 for exact results.
 
 Scores are the cosine of the original vectors in double precision, computed by one fixed summation
-order, so equal vectors have equal scores; ties go to the smaller id.
+order, so equal vectors have equal scores; ties go to the smaller id. Vectors are scaled by a power of
+two first, which changes no digit, so very small and very large ones neither vanish nor overflow.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
-part, neither do rows with null id, nor vectors of another length than most have; with fewer than k
-candidates all are returned; rows that repeat an id are candidates of their own, and only rows with
-the query's own id are left out; no queries or an empty table give an empty result.
-
-Plan: rows fall into shards by id hash, about `SHARD_ROWS` in each, so no value of any column makes a
-shard large. A shard's tree is built once and written to the shared folder as one row. Queries are
-packed into blocks of `QUERY_BLOCK`; each block meets each shard by an equality join on the shard
-number, which is the stated query set against all rows, in blocks. A task holds one tree and one
-block. Each pair returns at most k rows a query, and the best k are taken after a limit inside tasks.
+part, neither do rows with null id; queries meet the vectors of their own length, each length having
+its own trees; with fewer than k candidates all are returned; rows that repeat an id are candidates of
+their own, and only rows with the query's own id are left out; queries that repeat an id with another
+vector have results of their own, those that repeat both have one; no queries or an empty table give
+an empty result.
+
+Plan: rows fall into shards by length and hash, as many as fit in `SHARD_BYTES`, so no value of any
+column makes a shard large. A shard's tree is built once and written to the shared folder as one row.
+Queries are packed into blocks of `QUERY_BLOCK`; blocks and trees are dealt by (length, shard, group),
+a group being `GROUP` blocks, and the tree is sent once for each group: the stated query set against
+all rows, in blocks. A task holds one tree and one block. Each pair returns at most k rows a query, and
+the best k are taken after a limit inside tasks.
 """
 
 from __future__ import annotations
@@ -34,10 +44,17 @@ from pyspark.sql import functions as F
 
 from .common import groups, map_arrow, materialize
 
-SHARD_ROWS = 8192
+#: Bytes of a shard's vectors, and the rows that it has at most.
+SHARD_BYTES, SHARD_ROWS = 16 << 20, 8192
 QUERY_BLOCK = 1024
-LEAF = 128
-FACTOR = 1.3
+#: Blocks that share one copy of a tree.
+GROUP = 64
+LEAF = 64
+#: Factors tried for a tree, the recall that the chosen one reaches, and the rows it is tried with.
+FACTORS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0)
+RECALL, TRIED = 0.98, 48
+#: Most shard and group pairs that are dealt to partitions of their own.
+MOST_PARTITIONS = 20_000
 #: Rounding in distances stays far below this.
 SLACK = 1e-9
 
@@ -48,14 +65,19 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row by a power of two, so that its largest component is between 1/2 and 1; no digit changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision; each row's result depends on that row alone."""
+    """Row by row, in double precision; each row's result depends on that row alone. Rows are scaled()."""
     dot = np.add.reduce(a * b, axis=-1)
     return dot / (np.sqrt(np.add.reduce(a * a, axis=-1)) * np.sqrt(np.add.reduce(b * b, axis=-1)))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    """Rows of length one, of rows that are scaled()."""
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -153,6 +175,25 @@ def search(tree: Tree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, q
     return best, seen
 
 
+def choose_factor(tree: Tree, rows: np.ndarray, k: int, seed: int) -> float:
+    """The largest of FACTORS that finds RECALL of the k nearest of some of the tree's own rows."""
+    if len(rows) <= LEAF:
+        return FACTORS[0]
+    ids = np.arange(len(rows))
+    asked = np.random.default_rng(seed).choice(ids, size=min(TRIED, len(ids)), replace=False)
+    exact, _ = search(tree, rows, ids, rows[asked], asked, k, FACTORS[0])
+    low, high = 0, len(FACTORS) - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        found, _ = search(tree, rows, ids, rows[asked], asked, k, FACTORS[middle])
+        # By score: of equally near rows any will do.
+        if (found.score >= exact.score - SLACK).mean() >= RECALL:
+            low = middle
+        else:
+            high = middle - 1
+    return FACTORS[low]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
@@ -160,33 +201,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull())
-    rows = rows.where(usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (lengths["n"] if lengths else 0))
+    return rows.where(usable(F.col("v"))).withColumn("d", F.size("v"))
+
 
+TREE = "d int, shard int, factor double, n int, nodes binary, spans binary, ids binary, data binary"
 
-def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """(shard, tree): every usable row is in one shard's tree. And the number of shards."""
+
+def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, k: int = 5) -> DataFrame:
+    """One row a tree: (d, shard, factor, n, ...). Every usable row is in one shard's tree of its length d."""
     rows = materialize(_valid(vectors, id_col, vector_col), "vp-rows")
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).select("shard", "id", "v")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    per = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("d")))))
+    lengths = materialize(rows.groupBy("d").agg(F.count("*").alias("n")).select("d", F.ceil(F.col("n") / per).cast("int").alias("shards")), "vp-lengths")
+    dealt = rows.join(lengths, "d").withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int")).select("d", "shard", "id", "v")
+    total = lengths.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.repartition(min(total, MOST_PARTITIONS), "d", "shard").sortWithinPartitions("d", "shard", "id", F.xxhash64("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 1):
-            data, ids = _matrix(group.column("v")), group.column("id").to_numpy()
-            tree = Tree(unit(data), seed=group.column("shard")[0].as_py())
+        for group in groups(batches, 2):
+            d, shard = (group.column(c)[0].as_py() for c in ("d", "shard"))
+            data, ids = scaled(_matrix(group.column("v"))), group.column("id").to_numpy()
+            tree = Tree(unit(data), seed=shard)
+            factor = choose_factor(tree, data, k, shard)
             order = tree.order
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             nodes = np.array(tree.nodes, dtype=np.int64)
             inner = nodes[:, 2] >= 0
             nodes[inner, 2] = place[nodes[inner, 2]]
-            parts = [order.size, nodes.tobytes(), np.array(tree.spans).tobytes(), ids[order].tobytes(), data[order].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([group.column("shard")[0].as_py()], pa.int32()), pa.array([parts[0]], pa.int32()), *[pa.array([p], pa.binary()) for p in parts[1:]]], names=["shard", "n", "nodes", "spans", "ids", "data"])
+            parts = [nodes.tobytes(), np.array(tree.spans).tobytes(), ids[order].tobytes(), data[order].tobytes()]
+            names = ["d", "shard", "factor", "n", "nodes", "spans", "ids", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([shard], pa.int32()), pa.array([factor]), pa.array([order.size], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=names)
 
-    made = dealt.transform(map_arrow, run, "shard int, n int, nodes binary, spans binary, ids binary, data binary")
-    return materialize(made, "vp-trees"), shards
+    return materialize(dealt.transform(map_arrow, run, TREE), "vp-trees")
 
 
 def _load(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
@@ -199,34 +245,50 @@ def _load(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
     return tree, np.frombuffer(row["ids"], dtype=np.int64), data
 
 
-def nearest(trees: DataFrame, shards: int, queries: DataFrame, k: int = 5, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query, itself left out."""
-    asked = materialize(_valid(queries, id_col, vector_col).dropDuplicates(), "vp-queries")
-    blocks = max(1, -(-asked.count() // block))
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block", "id").select("block", "id", "v")
+def nearest(trees: DataFrame, queries: DataFrame, k: int = 5, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query, itself left out.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([group.column("id").to_numpy().tobytes()], pa.binary()), pa.array([_matrix(group.column("v")).tobytes()], pa.binary())], names=["qids", "qdata"])
+    factor: None for each tree's own.
+    """
+    asked = materialize(_valid(queries, id_col, vector_col).withColumn("mark", F.xxhash64("v")).dropDuplicates(["id", "v"]), "vp-queries")
+    blocks = materialize(asked.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "vp-blocks")
+    named = asked.join(blocks, "d").withColumn("block", F.pmod(F.xxhash64("id", "mark"), F.col("blocks")).cast("int"))
+    packed = named.repartition("d", "block").sortWithinPartitions("d", "block", "id", "mark").select("d", "block", "id", "mark", "v")
 
-    packs = packed.transform(map_arrow, pack, "qids binary, qdata binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 2):
+            d, number = (group.column(c)[0].as_py() for c in ("d", "block"))
+            parts = [group.column("id").to_numpy().tobytes(), group.column("mark").to_numpy().tobytes(), scaled(_matrix(group.column("v"))).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([number], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=["d", "block", "ids", "marks", "data"])
+
+    packs = packed.transform(map_arrow, pack, "d int, block int, ids binary, marks binary, data binary")
+    packs = materialize(packs.withColumn("grp", F.floor(F.col("block") / GROUP).cast("int")), "vp-packs")
+    met = packs.select("d", "grp").distinct().join(trees.select("d", "shard"), "d")
+    met = materialize(met.groupBy("d", "shard", "grp").count().drop("count"), "vp-met")
+    none = F.lit(None).cast("binary")
+    one = trees.join(met, ["d", "shard"]).select("d", "shard", "grp", F.lit(0).alias("kind"), "factor", "n", "nodes", "spans", "ids", none.alias("marks"), "data")
+    two = packs.join(met, ["d", "grp"]).select("d", "shard", "grp", F.lit(1).alias("kind"), F.lit(0.0).alias("factor"), F.lit(0).alias("n"), none.alias("nodes"), none.alias("spans"), "ids", "marks", "data")
+    # The tree of a (length, shard, group) comes first, then its blocks, one at a time.
+    key = ["d", "shard", "grp"]
+    dealt = one.unionByName(two).repartition(max(1, min(met.count(), MOST_PARTITIONS)), *key).sortWithinPartitions(*key, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, loaded = None, None
+        loaded, own = None, 1.0
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("shard", "qids", "qdata")}
-                if row["shard"] != last:
-                    last, loaded = row["shard"], _load({c: batch.column(c)[i].as_py() for c in ("n", "nodes", "spans", "ids", "data")})
+                row = {c: batch.column(c)[i].as_py() for c in ("d", "kind", "factor", "n", "nodes", "spans", "ids", "marks", "data")}
+                if row["kind"] == 0:
+                    loaded, own = _load(row), row["factor"]
+                    continue
                 tree, ids, data = loaded
-                qids = np.frombuffer(row["qids"], dtype=np.int64)
-                best, _ = search(tree, data, ids, np.frombuffer(row["qdata"]).reshape(len(qids), -1), qids, k, factor)
+                qids, marks = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["marks"], dtype=np.int64)
+                best, _ = search(tree, data, ids, np.frombuffer(row["data"]).reshape(len(qids), -1), qids, k, own if factor is None else factor)
                 found = np.isfinite(best.score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, found.sum(axis=1))), pa.array(best.id[found]), pa.array(best.score[found])], names=["query_id", "vec_id", "score"])
+                each = found.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, each)), pa.array(np.repeat(marks, each)), pa.array(best.id[found]), pa.array(best.score[found])], names=["query_id", "mark", "vec_id", "score"])
 
-    met = packs.join(trees.hint("shuffle_hash"), "shard").select("shard", "qids", "qdata", "n", "nodes", "spans", "ids", "data")
-    found = met.transform(map_arrow, run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.transform(map_arrow, run, "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -236,7 +298,20 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return found.select(*keys).join(exact.select(*keys), keys, "left_semi").count() / max(1, exact.count())
 
 
-def search_table(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = FACTOR) -> DataFrame:
+def search_table(vectors: DataFrame, every: int = 50, k: int = 5, factor: float | None = None) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by every."""
-    trees, shards = build(vectors)
-    return nearest(trees, shards, vectors.where(F.col("vec_id") % every == 0), k, factor)
+    return nearest(build(vectors, k=k), vectors.where(F.col("vec_id") % every == 0), k, factor)
+
+
+#: The five nearest without loss, as factor one finds them; scores to nine digits.
+EXACT_ORACLE = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+)
+SELECT query_id, nth::INTEGER AS rank, vec_id, round(score, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS nth FROM s) WHERE nth <= 5
+"""

@@ -411,6 +411,45 @@ def test_all_languages_are_learned(spark, monkeypatch):
         assert sum(a == lang for a, (_, _, lang) in zip(found, data, strict=True)) >= 0.97 * len(data)
 
 
+def test_no_language_is_lost_to_repeated_or_null_ids(spark):
+    """The ids are no help in choosing the sample: thousands of rows with one id, or none, or one text."""
+    rng = random.Random(8)
+    vocabulary = {lang: ["".join(rng.choices(letters, k=6)) for _ in range(40)] for lang, letters in (("en", "abcdef"), ("fr", "ghijkl"), ("de", "mnopqr"), ("es", "stuvwx"))}
+    data = [(i, " ".join(rng.choices(vocabulary[lang], k=20)), lang) for lang in ("en", "fr") for i in range(200)]
+    data += [(None if i % 2 else 7, " ".join(rng.choices(vocabulary["de"], k=20)), "de") for i in range(2000)]
+    data += [(9, " ".join(vocabulary["es"][:5]), "es")] * 1500 + [(9, " ".join(rng.choices(vocabulary["es"], k=20)), "es") for _ in range(10)]
+    df = spark.createDataFrame(data, "id long, text string, lang string")
+    chosen = Counter(r["lang"] for r in langid.sample(df, 100).collect())
+    assert all(50 <= chosen[lang] <= 100 for lang in ("en", "fr", "de"))
+    assert 10 <= chosen["es"] <= 11
+    found, _, _ = langid.judge(pa.array([t for _, t, _ in data]), langid.train(df))
+    assert all(a == lang for a, (_, _, lang) in zip(found, data, strict=True))
+
+
+def test_language_scores_recomputed_one_by_one(spark, sf):
+    """Features by a dictionary of n-grams, losses bit by bit, the codeword of least loss."""
+    texts = [r["text"] for r in documents(spark, sf).limit(25).collect()] + ["Ünï  cödé 123 ABC", "z"]
+    model = langid.train(documents(spark, sf).withColumnRenamed("doc_id", "id"))
+    names, scores, _ = langid.judge(pa.array(texts), model)
+    odd = [int(x) for x in langid.randoms(77, max(langid.ORDERS))]
+    mask = (1 << 64) - 1
+
+    def slot(gram):
+        h = (len(gram) + sum((b + 1) * odd[i] for i, b in enumerate(gram))) & mask
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return (h ^ (h >> 31)) >> 52
+
+    for text, name, score in zip(texts, names, scores, strict=True):
+        data = re.sub(rb" +", b" ", bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in lower(text).encode()))
+        grams = Counter(slot(data[i : i + k]) for k in langid.ORDERS for i in range(len(data) - k + 1))
+        total = sum(grams.values())
+        margins = model.bias + sum((n / total) ** 0.5 * model.weights[s] for s, n in grams.items())
+        losses = [sum(np.log1p(np.exp(-c * m)) for c, m in zip(code.tolist(), margins, strict=True)) for code in model.codes]
+        assert name == model.langs[int(np.argmin(losses))]
+        assert score == pytest.approx(1 / sum(np.exp(min(losses) - x) for x in losses), abs=1e-4)
+
+
 def test_codewords_of_many_languages():
     for n in (257, 3000):
         c = langid.codewords(n).astype(np.float32)

@@ -55,13 +55,13 @@ def cosine(a, b):
 
 
 def nearest_brute(rows, every, k):
-    live = [(i, v) for i, v, _ in rows if i is not None and usable(v)]
+    live = [(i, v) for i, v, _ in rows if i is not None and v and usable(v, len(v))]
     out = {}
     for q, v in live:
         if q % every == 0:
-            found = sorted(((-cosine(v, w), i) for i, w in live if i != q))[:k]
+            found = sorted((-cosine(v, w), i) for i, w in live if i != q and len(w) == len(v))[:k]
             out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(found)]
-    return out
+    return {q: found for q, found in out.items() if found}
 
 
 def by_query(df):
@@ -72,13 +72,13 @@ def by_query(df):
 
 
 def test_factor_one_is_exact(spark, clustered, monkeypatch):
-    monkeypatch.setattr(vptree, "SHARD_ROWS", 64)
     monkeypatch.setattr(vptree, "LEAF", 8)
+    monkeypatch.setattr(vptree, "GROUP", 2)
     rows = clustered + ODD
-    trees, shards = vptree.build(frame(spark, rows), shard_rows=64)
-    assert shards > 2
+    trees = vptree.build(frame(spark, rows), shard_rows=64)
+    assert trees.where("d = 24").count() > 2
     queries = frame(spark, rows).where("vec_id % 10 = 0")
-    got = by_query(vptree.nearest(trees, shards, queries, 5, factor=1.0, block=7))
+    got = by_query(vptree.nearest(trees, queries, 5, factor=1.0, block=7))
     want = nearest_brute(rows, 10, 5)
     assert got.keys() == want.keys()
     for q, found in want.items():
@@ -86,6 +86,21 @@ def test_factor_one_is_exact(spark, clustered, monkeypatch):
         assert [s for *_, s in got[q]] == pytest.approx([s for *_, s in found], abs=1e-12)
 
 
+def test_lengths_magnitudes_and_repeated_ids(spark):
+    """Each length has its own neighbours; tiny and huge vectors take part; one id may have two vectors."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=2 + i % 3) * 10.0 ** rng.choice([-200, -3, 0, 150])).tolist(), 0) for i in range(120)]
+    rows += [(0, [1.0, -1.0], 0), (50, [1e-320] * 2, 0), (50, [1e-320] * 2, 0), (7, [5.0, 5.0], 0), (8, [5.0, 5.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vptree.search_table(df, every=50, factor=1.0).collect()]
+    want = []
+    live = [(i, np.array(v) / np.abs(v).max()) for i, v, _ in rows]
+    for q, v in {(i, tuple(v)) for i, v in live if i % 50 == 0}:
+        found = sorted((-round(cosine(v, w), 12), i) for i, w in live if i != q and len(w) == len(v))[:5]
+        want += [(q, r + 1, i, round(-s, 9)) for r, (s, i) in enumerate(found)]
+    assert sorted(got) == sorted(want)
+
+
 def test_recall_with_relaxed_pruning(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = by_query(vptree.search_table(frame(spark, rows)))
@@ -99,12 +114,26 @@ def test_recall_with_relaxed_pruning(spark, sf):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
-def test_pruning_skips_and_relaxes():
+@pytest.mark.parametrize(("inner", "share"), [(3, 0.25), (6, 0.7)])
+def test_chosen_factors_skip_most_where_vectors_have_structure(inner, share):
+    """Vectors of 64 components on surfaces of few dimensions: a part of the distances, recall of 0.95."""
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(4000, inner)) @ rng.normal(size=(inner, 64)) + rng.normal(size=(4000, 64)) * 0.01
+    data = vptree.scaled(data)
+    tree, ids = vptree.Tree(vptree.unit(data)), np.arange(len(data))
+    factor = vptree.choose_factor(tree, data, 5, 0)
+    asked = ids[::20]
+    exact, _ = vptree.search(tree, data, ids, data[asked], asked, 5, 1.0)
+    found, seen = vptree.search(tree, data, ids, data[asked], asked, 5, factor)
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found.id, exact.id, strict=True)]) >= 0.95
+    assert seen < share * len(asked) * len(data)
+
+
+def test_larger_factors_skip_more():
     rng = np.random.default_rng(0)
     data = np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(200, 8)) * 0.1 for _ in range(20)])
     tree, ids = vptree.Tree(vptree.unit(data)), np.arange(len(data))
-    queries = data[:50]
-    costs = [vptree.search(tree, data, ids, queries, ids[:50], 5, f)[1] for f in (1.0, 2.0, 8.0)]
+    costs = [vptree.search(tree, data, ids, data[:50], ids[:50], 5, f)[1] for f in (1.0, 2.0, 8.0)]
     assert costs[0] < 50 * len(data)
     assert costs[0] >= costs[1] >= costs[2]
 
