@@ -10,9 +10,10 @@ and so gives exact results; larger factors skip more. Queries descend in blocks:
 queries that reach it at once.
 
 How much a factor skips, and loses, depends on the vectors: where they have structure a small one
-skips most of a tree, where they have none only a large one skips anything. So each tree brings its
-own factor: the largest of `FACTORS` that finds `RECALL` of the neighbours of some of its own rows.
-Callers may give one instead, 1 for exact results.
+skips most of a tree, where they have none only a large one skips anything. So the vectors of each length bring their own
+factor: the largest of `FACTORS` that finds `RECALL` of the neighbours of some rows in each of the first
+`CALIBRATED` trees (shards are alike, for they are dealt by hash). Callers may give a factor instead, 1 for
+exact results.
 
 Scores are the cosine of the original vectors in double precision, computed by one fixed summation
 order, so equal vectors have equal scores; ties go to the smaller id. Vectors are scaled by a power of
@@ -49,10 +50,10 @@ SHARD_BYTES, SHARD_ROWS = 16 << 20, 8192
 QUERY_BLOCK = 1024
 #: Blocks that share one copy of a tree.
 GROUP = 64
-LEAF = 64
-#: Factors tried for a tree, the recall that the chosen one reaches, and the rows it is tried with.
+LEAF = 128
+#: Factors tried, the recall that the chosen one reaches, the rows it is tried with in a tree, and the trees.
 FACTORS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0)
-RECALL, TRIED = 0.98, 48
+RECALL, TRIED, CALIBRATED = 0.98, 48, 4
 #: Most shard and group pairs that are dealt to partitions of their own.
 MOST_PARTITIONS = 20_000
 #: Rounding in distances stays far below this.
@@ -208,7 +209,10 @@ TREE = "d int, shard int, factor double, n int, nodes binary, spans binary, ids
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, k: int = 5) -> DataFrame:
-    """One row a tree: (d, shard, factor, n, ...). Every usable row is in one shard's tree of its length d."""
+    """One row a tree: (d, shard, factor, n, ...). Every usable row is in one shard's tree of its length d.
+
+    The first trees of a length have a factor; the length's is their smallest.
+    """
     rows = materialize(_valid(vectors, id_col, vector_col), "vp-rows")
     per = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("d")))))
     lengths = materialize(rows.groupBy("d").agg(F.count("*").alias("n")).select("d", F.ceil(F.col("n") / per).cast("int").alias("shards")), "vp-lengths")
@@ -221,7 +225,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             d, shard = (group.column(c)[0].as_py() for c in ("d", "shard"))
             data, ids = scaled(_matrix(group.column("v"))), group.column("id").to_numpy()
             tree = Tree(unit(data), seed=shard)
-            factor = choose_factor(tree, data, k, shard)
+            factor = choose_factor(tree, data, k, shard) if shard < CALIBRATED else None
             order = tree.order
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
@@ -230,7 +234,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             nodes[inner, 2] = place[nodes[inner, 2]]
             parts = [nodes.tobytes(), np.array(tree.spans).tobytes(), ids[order].tobytes(), data[order].tobytes()]
             names = ["d", "shard", "factor", "n", "nodes", "spans", "ids", "data"]
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([shard], pa.int32()), pa.array([factor]), pa.array([order.size], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([shard], pa.int32()), pa.array([factor], pa.float64()), pa.array([order.size], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=names)
 
     return materialize(dealt.transform(map_arrow, run, TREE), "vp-trees")
 
@@ -248,7 +252,7 @@ def _load(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
 def nearest(trees: DataFrame, queries: DataFrame, k: int = 5, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, itself left out.
 
-    factor: None for each tree's own.
+    factor: None for the one that the trees of a length have chosen.
     """
     asked = materialize(_valid(queries, id_col, vector_col).withColumn("mark", F.xxhash64("v")).dropDuplicates(["id", "v"]), "vp-queries")
     blocks = materialize(asked.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "vp-blocks")
@@ -266,7 +270,8 @@ def nearest(trees: DataFrame, queries: DataFrame, k: int = 5, factor: float | No
     met = packs.select("d", "grp").distinct().join(trees.select("d", "shard"), "d")
     met = materialize(met.groupBy("d", "shard", "grp").count().drop("count"), "vp-met")
     none = F.lit(None).cast("binary")
-    one = trees.join(met, ["d", "shard"]).select("d", "shard", "grp", F.lit(0).alias("kind"), "factor", "n", "nodes", "spans", "ids", none.alias("marks"), "data")
+    chosen = materialize(trees.groupBy("d").agg(F.min("factor").alias("factor")), "vp-factors")
+    one = trees.drop("factor").join(met, ["d", "shard"]).join(chosen, "d").select("d", "shard", "grp", F.lit(0).alias("kind"), "factor", "n", "nodes", "spans", "ids", none.alias("marks"), "data")
     two = packs.join(met, ["d", "grp"]).select("d", "shard", "grp", F.lit(1).alias("kind"), F.lit(0.0).alias("factor"), F.lit(0).alias("n"), none.alias("nodes"), none.alias("spans"), "ids", "marks", "data")
     # The tree of a (length, shard, group) comes first, then its blocks, one at a time.
     key = ["d", "shard", "grp"]
