@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import re
 import tempfile
@@ -41,17 +42,48 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Tables written for the work that owned() has in hand.
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a rerun of the reader's tasks, not of df.
+    Cuts the lineage: a lost executor costs a rerun of the reader's tasks, not of df. Inside owned() the
+    table goes when the work is done; elsewhere it stays for the caller, for the result may read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def owned(spark: SparkSession, label: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """What work() returns, as one table; all tables that it has written on the way are deleted.
+
+    If it fails they stay, for whoever looks into the failure.
+    """
+    inner: list[str] = []
+    before = _WRITTEN.set(inner)
+    try:
+        made = work()
+    finally:
+        _WRITTEN.reset(before)
+    done = materialize(made, label)
+    for path in inner:
+        delete(spark, path)
+    return done
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema), with bounded batches, and with memory returned after each task.
 

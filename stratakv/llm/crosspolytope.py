@@ -1,20 +1,26 @@
 """Near-duplicate embeddings: cross-polytope hashing after fast Hadamard rotations.
 
 Two rows link if their labels are equal and not null and their cosine, in double precision, is 0.98
-or more. Each of `TABLES` tables rotates the vectors (three rounds of random signs and a fast
-Hadamard transform) and hashes a vector to the nearest of the 2d signed axes. Multiprobe: a vector
-also enters the buckets of its next nearest axes, `PROBES` in all, and two vectors meet in a table if
-any of their axes agree. At cosine 0.98 one table misses a pair with probability 0.026 at d = 64, so
-all tables together miss about 1e-11 of the pairs at the threshold, and fewer above it.
+or more. A rotation (three rounds of random signs and a fast Hadamard transform) takes a vector to the
+nearest of the 2d signed axes. Multiprobe: a vector also takes its next nearest axes, `PROBES` in all.
+A table has `depth` rotations; a vector enters the buckets of all combinations of its axes there, and
+two vectors meet in a table if in each of its rotations any of their axes agree. The depth grows with
+the logarithm of the number of vectors, so that buckets of unlike vectors stay small.
+
+Recall: at cosine 0.98 a rotation misses a pair with a probability of about 0.026 at d = 64 and 0.05 at
+d = 1024 (`MISS`, measured by a test); `tables()` takes as many tables as leave a miss below `LOST` for a
+pair at the threshold, and far less above it.
 
 Equal vectors of a label are one class, with a count; classes alone are hashed. In a bucket pairs
-are compared, never written out: a pair counts in its first common bucket only, which each task
+are compared, never written out: a pair counts in the first of its common buckets only, which each task
 decides from the classes' bucket lists, so counts need no set of pairs. A task returns, per class,
 the number of linked rows, and of the links only a spanning forest. Buckets of more than `BLOCK`
-classes are compared by pairs of blocks, one pair a task, so no task grows with a bucket.
+classes are compared by pairs of blocks, one pair a task, `STRIP` rows at a time, so neither a task nor its
+memory grows with a bucket. Cosines within `CLOSE` of the threshold are summed again in one fixed order.
 
 Defined results: null label, and vectors that are null, empty, zero or hold null or non-finite
-components: no links, own component. Vectors of different length never link. Rows with null id link
+components: no links, own component. Vectors of different length never link. Vectors are scaled by a
+power of two first, so tiny and huge ones link as others do. Rows with null id link
 with nothing (component null, kept). Rows that repeat an id and a vector count as copies of it. An
 empty table gives an empty result.
 
@@ -33,14 +39,34 @@ from pyspark.sql import functions as F
 
 from .common import groups, map_arrow, materialize, randoms
 from .components import components
-from .vptree import usable
+from .vptree import scaled, usable
 
 LEAST = 0.98
-TABLES, PROBES = 7, 2
-BLOCK = 512
+PROBES = 2
+#: Chance that a rotation misses a pair at the threshold, at most, and that all tables do.
+MISS, LOST = 0.06, 1e-9
+#: Classes that a bucket of unlike vectors may hold, about; rotations of a table at most.
+BUCKET, MOST_DEPTH = 16, 4
+#: Most classes of a block, and rows of it that are compared at once with another block.
+BLOCK, STRIP = 2048, 256
+#: Far more than products of unit vectors are rounded by.
+CLOSE = 1e-9
 SEED = 91
 
 
+def depth_for(n: int, d: int) -> int:
+    """Rotations of a table, so that n unlike vectors of length d fall into buckets of about BUCKET."""
+    depth = 1
+    while depth < MOST_DEPTH and n > BUCKET * (2 * d) ** depth:
+        depth += 1
+    return depth
+
+
+def tables(depth: int) -> int:
+    """Tables that together lose a pair at the threshold with a chance of LOST at most."""
+    return int(np.ceil(np.log(LOST) / np.log(1 - (1 - MISS) ** depth)))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Hadamard transform of each row; the length is a power of two."""
     n, h = x.shape[1], 1
@@ -51,16 +77,30 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def axes(vectors: np.ndarray, table: int, probes: int = PROBES) -> np.ndarray:
+def axes(vectors: np.ndarray, rotation: int, probes: int = PROBES) -> np.ndarray:
     """Rows x probes: the signed axes nearest to the rotated vectors, nearest first."""
     d = 1 << max(0, int(vectors.shape[1] - 1).bit_length())
     x = np.zeros((len(vectors), d))
     x[:, : vectors.shape[1]] = vectors
     for turn in range(3):
-        signs = np.where(randoms(SEED + 7 * table + turn, d) >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
+        signs = np.where(randoms(SEED + 7 * rotation + turn, d) >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
         x = hadamard(x * signs)
     near = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :probes]
-    return 2 * near + (np.take_along_axis(x, near, 1) > 0)
+    found = 2 * near + (np.take_along_axis(x, near, 1) > 0)
+    # Short vectors have fewer axes than probes.
+    return np.concatenate([found, np.repeat(found[:, :1], probes - found.shape[1], axis=1)], axis=1)
+
+
+def bucket_keys(vectors: np.ndarray, depth: int, probes: int = PROBES) -> np.ndarray:
+    """Rows x tables x probes ** depth: the buckets that each vector enters, table by table."""
+    sides = 2 << max(0, int(vectors.shape[1] - 1).bit_length())
+    out = []
+    for t in range(tables(depth)):
+        key = np.full((len(vectors), 1), t, dtype=np.int64)
+        for r in range(depth):
+            key = (key[:, :, None] * sides + axes(vectors, t * depth + r, probes)[:, None, :]).reshape(len(vectors), -1)
+        out.append(key)
+    return np.stack(out, axis=1)
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -68,98 +108,109 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def bucket_rows(classes: DataFrame, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(cls, axes): a class's axes, table by table."""
+def bucket_rows(classes: DataFrame, depth: int, probes: int = PROBES) -> DataFrame:
+    """(cls, keys): a class's buckets, table by table."""
+    width = tables(depth) * probes**depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _rows(batch.column(1))
-            out = np.zeros((batch.num_rows, tables * probes), dtype=np.int32)
-            sizes = np.array([len(v) for v in vectors])
-            for d in np.unique(sizes).tolist():
-                of = np.flatnonzero(sizes == d)
-                m = np.stack([vectors[i] for i in of])
-                m /= np.abs(m).max(axis=1, keepdims=True)
-                for t in range(tables):
-                    found = axes(m, t, probes)
-                    out[of, t * probes : t * probes + found.shape[1]] = found
-                    if found.shape[1] < probes:
-                        out[np.ix_(of, range(t * probes + found.shape[1], (t + 1) * probes))] = found[:, :1]
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (tables * probes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["cls", "axes"])
-
-    return classes.select("cls", "v").transform(map_arrow, run, "cls long, axes array<int>")
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Indices of links that connect all that the links (a, b) connect."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
-            kept.append(i)
-    return kept
-
-
-def compare(i: int, j: int, table: int, axis: int, cls: np.ndarray, copies: np.ndarray, part: np.ndarray, codes: np.ndarray, data: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one pair of blocks: per member the linked rows, and a spanning forest (a, b)."""
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                vectors = _rows(part.column(1))
+                out = np.zeros((part.num_rows, width), dtype=np.int64)
+                sizes = np.array([len(v) for v in vectors])
+                for d in np.unique(sizes).tolist():
+                    of = np.flatnonzero(sizes == d)
+                    out[of] = bucket_keys(scaled(np.stack([vectors[i] for i in of])), depth, probes).reshape(len(of), -1)
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * width
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["cls", "keys"])
+
+    return classes.select("cls", "v").transform(map_arrow, run, "cls long, keys array<long>")
+
+
+class Forest:
+    """Of the links it is shown, those that connect what earlier ones have not."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            p, q = self.label[x], self.label[y]
+            new = p != q
+            x, y, p, q = x[new], y[new], np.minimum(p, q)[new], np.maximum(p, q)[new]
+            if not len(x):
+                return
+            # Each larger label takes one link to a smaller one; the others are looked at again.
+            q, one = np.unique(q, return_index=True)
+            to = np.arange(len(self.label))
+            to[q] = p[one]
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]
+            self.a += x[one].tolist()
+            self.b += y[one].tolist()
+
+
+def compare(i: int, j: int, key: int, cls: np.ndarray, copies: np.ndarray, part: np.ndarray, keys: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one pair of blocks: per member the linked rows, and a spanning forest (a, b).
+
+    keys: members x tables x buckets; data: scaled vectors.
+    """
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    lengths = np.sqrt((data * data).sum(axis=1))
-    rough = (data[left] @ data[right].T) / (lengths[left][:, None] * lengths[right][None, :])
-    x, y = np.nonzero(rough >= LEAST - 1e-9)
-    x, y = left[x], right[y]
-    if i == j:
-        x, y = x[x < y], y[x < y]
-    # Decide near the threshold by one fixed order of summation.
-    exact = np.add.reduce(data[x] * data[y], axis=1) / (np.sqrt(np.add.reduce(data[x] * data[x], axis=1)) * np.sqrt(np.add.reduce(data[y] * data[y], axis=1)))
-    x, y = x[exact >= LEAST], y[exact >= LEAST]
-    # A pair counts in its first common bucket: no earlier table has one, nor a smaller axis of this one.
-    first = np.ones(len(x), dtype=bool)
-    for t in range(table + 1):
-        p, q = codes[x, t * probes : (t + 1) * probes], codes[y, t * probes : (t + 1) * probes]
-        same = p[:, :, None] == q[:, None, :]
-        if t == table:
-            same &= p[:, :, None] < axis
-        first &= ~same.any(axis=(1, 2))
-    x, y = x[first], y[first]
-    linked = np.bincount(x, weights=copies[y], minlength=len(cls)) + np.bincount(y, weights=copies[x], minlength=len(cls))
-    kept = _forest(len(cls), x, y)
-    return linked.astype(np.int64), cls[x[kept]], cls[y[kept]]
-
-
-def _compared(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    lengths = np.sqrt(np.add.reduce(data * data, axis=1))
+    unit = data / lengths[:, None]
+    linked, forest = np.zeros(len(cls), dtype=np.int64), Forest(len(cls))
+    for at in range(0, len(left), STRIP):
+        rough = unit[left[at : at + STRIP]] @ unit[right].T
+        x, y = np.nonzero(rough >= LEAST - CLOSE)
+        near = np.flatnonzero(rough[x, y] < LEAST + CLOSE)
+        x, y = left[at + x], right[y]
+        # Decided by one fixed order of summation, a bounded number at a time.
+        good = np.ones(len(x), dtype=bool)
+        for some in np.split(near, range(4096, len(near), 4096)):
+            p, q = x[some], y[some]
+            good[some] = np.add.reduce(data[p] * data[q], axis=1) / (lengths[p] * lengths[q]) >= LEAST
+        if i == j:
+            good &= x < y
+        x, y = x[good], y[good]
+        # A pair counts in the least of its common buckets; buckets of different tables differ.
+        for first in range(0, len(x), 16384):
+            p, q = x[first : first + 16384], y[first : first + 16384]
+            mine, common = keys[p], np.full(len(p), np.iinfo(np.int64).max)
+            for c in range(keys.shape[2]):
+                same = np.where(mine == keys[q][:, :, c : c + 1], mine, np.iinfo(np.int64).max)
+                common = np.minimum(common, same.min(axis=(1, 2)))
+            p, q = p[common == key], q[common == key]
+            linked += np.bincount(p, weights=copies[q], minlength=len(cls)).astype(np.int64) + np.bincount(q, weights=copies[p], minlength=len(cls)).astype(np.int64)
+            forest.add(p, q)
+    return linked, cls[forest.a], cls[forest.b]
+
+
+def _compared(classes: DataFrame) -> DataFrame:
     """(cls, other, linked): other null: linked rows of a class; else a link."""
-    coded = materialize(bucket_rows(classes, tables, probes), "cp-axes")
-    keyed = coded.join(classes.select("cls", "label", F.size("v").alias("d")), "cls")
-    rows = keyed.select("cls", "label", "d", F.posexplode("axes").alias("slot", "axis")).select("cls", "label", "d", F.floor(F.col("slot") / probes).cast("int").alias("t"), "axis").distinct()
-    key = ["label", "d", "t", "axis"]
+    lengths = classes.groupBy(F.size("v").alias("d")).count().agg(F.max("count").alias("n"), F.max_by("d", "count").alias("d")).first()
+    depth = depth_for(lengths["n"] or 0, lengths["d"] or 1)
+    coded = materialize(bucket_rows(classes, depth).join(classes.select("cls", "label", F.size("v").alias("d")), "cls"), "cp-keys")
+    key = ["label", "d", "key"]
+    rows = coded.select("cls", "label", "d", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = materialize(rows.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "cp-buckets")
-    met = rows.join(sizes, key)
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    met = rows.join(sizes, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
     spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls")
-    full = spread.join(classes.select("cls", "copies", "v"), "cls").join(coded, "cls")
-    group = [*key, "i", "j"]
-    dealt = full.repartition(*group).sortWithinPartitions(*group).select(*group, "part", "cls", "copies", "axes", "v")
+    full = spread.join(classes.select("cls", "copies", "v"), "cls").join(coded.select("cls", "keys"), "cls")
+    group, width = [*key, "i", "j"], PROBES**depth
+    dealt = full.repartition(*group).sortWithinPartitions(*group).select(*group, "part", "cls", "copies", "keys", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 6):
+        for g in groups(batches, 5):
             cls, copies, part = (g.column(c).to_numpy() for c in ("cls", "copies", "part"))
-            codes = np.asarray(g.column("axes").combine_chunks().flatten()).reshape(len(cls), -1)
-            data = np.asarray(g.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(cls), -1)
-            t, axis, i, j = (g.column(c)[0].as_py() for c in ("t", "axis", "i", "j"))
-            linked, a, b = compare(i, j, t, axis, cls, copies, part, codes, data, probes)
+            keys = np.asarray(g.column("keys").combine_chunks().flatten()).reshape(len(cls), -1, width)
+            data = scaled(np.asarray(g.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(cls), -1))
+            own, i, j = (g.column(c)[0].as_py() for c in ("key", "i", "j"))
+            linked, a, b = compare(i, j, own, cls, copies, part, keys, data)
             some = np.flatnonzero(linked)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cls[some], a])), pa.array([None] * len(some) + b.tolist(), pa.int64()), pa.array(np.concatenate([linked[some], np.zeros(len(a), np.int64)]))], names=["cls", "other", "linked"])
@@ -167,7 +218,7 @@ def _compared(classes: DataFrame, tables: int, probes: int) -> DataFrame:
     return materialize(dealt.transform(map_arrow, run, "cls long, other long, linked long"), "cp-links")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     live = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
@@ -182,7 +233,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = named.join(counted.select(*same, F.col("cls").alias("id"), "copies", "several"), [*same, "id"]).dropDuplicates([*same])
     number = F.when(F.col("several"), F.xxhash64("id", *same)).otherwise(F.col("id"))
     classes = materialize(reps.select(number.alias("cls"), F.col("id").alias("least"), *same, "copies", "v"), "cp-reps")
-    found = _compared(classes, tables, probes)
+    found = _compared(classes)
     links = found.where("other IS NULL").groupBy("cls").agg(F.sum("linked").alias("linked"))
     joined = components(found.where("other IS NOT NULL"), "cls", "other")
     # Components are named after their smallest id.

@@ -46,6 +46,8 @@ SKETCH_ROWS = 1024
 LEAST = 0.75 - 5.5 * (0.75 * 0.25 / SAMPLES) ** 0.5
 #: Most members of a block, and most shingles (8 bytes each) of its members' sets, but for one member.
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Smaller buckets are cut into up to PARTS blocks of LEAST_BLOCK members, so that several tasks share them.
+LEAST_BLOCK, PARTS = 256, 16
 SEED = 31
 
 
@@ -292,7 +294,8 @@ def _compare_blocks(docs: DataFrame, members: DataFrame, reps: DataFrame, id_col
     """(a, b): links between the components of members (key, doc, comp)."""
     known = reps.select("doc", "n", "sketch", "bands")
     sized = materialize(members.join(reps.select("doc", "n"), "doc").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("held")), "near-sizes")
-    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    spread = F.least(F.ceil(F.col("m") / LEAST_BLOCK), F.lit(PARTS))
+    parts = F.greatest(spread, F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     met = members.join(sized.hint("shuffle_hash"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = met.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "comp")

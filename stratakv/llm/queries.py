@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, crosspolytope, hilbert, langid, linededup, minhash, mixing, substring, urlfilter, vptree
-from .common import table
+from .common import owned, table
 
 WORD_BPE = "word_bpe_49k.json"
+SHARD_BY = ["source", "lang", "n_chars"]
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -42,7 +43,7 @@ def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.report(hilbert.shard(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], shards=16))
+    return hilbert.report(hilbert.shard(table(spark, sf_dir, "documents"), SHARD_BY, shards=16))
 
 
 def op6_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,18 +66,31 @@ def op10_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(substring.dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
-    "op2_line_windows": op2_line_windows,
-    "op3_vantage_point_trees": op3_vantage_point_trees,
-    "vantage_point_exact": vantage_point_exact,
-    "op4_low_discrepancy_mix": op4_low_discrepancy_mix,
-    "op5_hilbert_shards": op5_hilbert_shards,
-    "op6_url_character_models": op6_url_character_models,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _owned(name: str, query: Query) -> Query:
+    """The query, with its result as a table and the tables of its steps deleted."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return owned(spark, name, lambda: query(spark, sf_dir))
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op1_minhash_odd_sketch": _owned("op1", op1_minhash_odd_sketch),
+    "op2_line_windows": _owned("op2", op2_line_windows),
+    "op3_vantage_point_trees": _owned("op3", op3_vantage_point_trees),
+    "vantage_point_exact": _owned("op3", vantage_point_exact),
+    "op4_low_discrepancy_mix": _owned("op4", op4_low_discrepancy_mix),
+    "op5_hilbert_shards": _owned("op5", op5_hilbert_shards),
+    "op6_url_character_models": _owned("op6", op6_url_character_models),
+    # One narrow pass without steps.
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
-    "op8_cross_polytope": op8_cross_polytope,
-    "op9_ecoc_language_id": op9_ecoc_language_id,
-    "op10_de_bruijn_substrings": op10_de_bruijn_substrings,
+    "op8_cross_polytope": _owned("op8", op8_cross_polytope),
+    "op9_ecoc_language_id": _owned("op9", op9_ecoc_language_id),
+    "op10_de_bruijn_substrings": _owned("op10", op10_de_bruijn_substrings),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,6 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_windows": linededup.ORACLE,
     "vantage_point_exact": vptree.EXACT_ORACLE,
     "op4_low_discrepancy_mix": mixing.ORACLE,
+    "op5_hilbert_shards": hilbert.oracle(SHARD_BY),
     "op8_cross_polytope": crosspolytope.ORACLE,
     "op10_de_bruijn_substrings": substring.ORACLE,
 }

@@ -4,36 +4,41 @@ An edge of the graph is a run of `k` consecutive words (its nodes are the runs o
 either end). The source of an edge is the smallest document in which it starts. In a document every
 edge whose source is a smaller document is to go, with all its words.
 
-Anchors. Each edge is named after the smallest hash among its runs of `anchor` words, which equal
-edges share. An anchor that occurs in one document only cannot belong to a repeated edge. Anchors are
-few (about 2 / (k - anchor + 2) of all words), and their smallest and largest document are aggregated
-before the shuffle.
-
-Paths. Consecutive edges with one anchor compact into a path, named by a hash of all its words. The
-cuts depend on the words alone, so a passage that two documents share falls into the same paths but
-for its ends. A first join on path names settles every path that a smaller document holds as a whole;
-of each path only the source's copy is taken apart again. Its edges are joined one by one, which
-settles the paths at the ends of shared passages, and those that branch. A removed path or edge keeps
-its source document; overlapping ones merge into spans, in the order of positions.
-
-Verification. Paths and edges are named by two independent hashes, 96 bits in all, and a document is
-compared with its source's coordinates by both. verify_spans() compares the words themselves, for
-callers who want that at the price of two more shuffles of the texts.
+Anchors. Each edge has an anchor, the smallest hash among its runs of `anchor` words, which equal
+edges share. Consecutive edges of a text with one anchor are one unit, as minimisers group k-mers where
+de Bruijn graphs are compacted in parallel: the cuts depend on the words alone, so a passage that two
+documents share falls into the same units but for its ends. A unit whose anchor occurs in one document
+only has no repeated edge. Units of two documents or more are repeated as a whole; of these the source's
+copy, and all units that are not repeated as a whole, are opened into edges, which are units of their own
+if two documents or more have them.
+
+Compaction. Units follow one another in texts. At the node between two units the graph does not branch
+if the first has out-degree one and the second in-degree one, over all their occurrences, the end of a
+text or of the repeated part counting as a branch. Such units are joined, by pointer doubling: in each
+round every unit joins the unit at its pointer, so paths of n units take log2(n) joins. All occurrences
+of a nonbranching path run through the whole of it, so it has one source, and each of its occurrences in
+a later document is one span with the source's coordinates. Neighbouring spans with the same shift to
+the same source merge.
+
+Verification. Names of units are hashes of `name_bits` bits. Each span's words, all of them, are compared
+with the words at its source's coordinates, by their SHA-256, in the pass that removes them. If any
+differ, names have collided, and the whole search is done again with other hashes of twice the bits: what
+is returned has always been verified, and as equal words have equal names nothing is missed.
 
 Defined results: null text has no words; rows with null doc_id take no part and stay; rows with the
 same doc_id are one document for the comparison and are told apart by a hash of their text; fewer
 than k words: nothing goes. Kept words are joined by one blank. Texts of any length are handled
 whole. An empty table gives an empty result. Other columns are not read.
 
-A hot passage costs one partial row a task where minima are made, and the joins back are plain
-shuffled joins whose hot partitions can be split. The set of repeated anchors goes to the tasks as
-a broadcast if it is at most `BROADCAST_ANCHORS` long, which is checked; beyond that anchors are
-joined and reach each document by a shuffle. Texts are hashed again for each use, which is cheaper
-than to keep the hashes.
+Plan: three passes over texts (units; edges of opened units; removal), each one narrow Python pass. A hot
+passage costs one partial row a task where minima and degrees are made, and the joins back are plain
+shuffled joins whose hot partitions can be split. Nothing is broadcast or gathered; a window orders the
+units of one document at most.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +49,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
 
 K, ANCHOR = 50, 16
-#: At most this many anchors (8 bytes each) are broadcast.
-BROADCAST_ANCHORS = 4_000_000
-SEED_ANCHOR, SEED_EDGE, SEED_CHECK = 21, 22, 23
+NAME_BITS, ATTEMPTS = 96, 5
+SEED_WORD, SEED_ANCHOR, SEED_EDGE, SEED_CHECK = 1, 21, 22, 23
+#: Between the seeds of one attempt and the next.
+SEED_STEP = 1000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,193 +67,222 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Edges:
-    """All edges of a slice of documents."""
+class Runs:
+    """Names of runs of words in a slice of documents."""
 
-    def __init__(self, texts: pa.Array, k: int, anchor: int):
-        self.k = k
-        self.words, _, _, bounds = word_hashes(*text_bytes(texts), lower=False)
-        self.bounds = bounds
-        counts = np.maximum(np.diff(bounds) - k + 1, 0)
-        self.row = np.repeat(np.arange(len(counts)), counts)
+    def __init__(self, texts: pa.Array, attempt: int, bits: int):
+        self.attempt, self.bits = attempt * SEED_STEP, bits
+        self.words, _, _, self.bounds = word_hashes(*text_bytes(texts), lower=False, seed=SEED_WORD + self.attempt)
+
+    def units(self, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word, number of edges, anchor) of each run of edges with one anchor."""
+        counts = np.maximum(np.diff(self.bounds) - k + 1, 0)
+        row = np.repeat(np.arange(len(counts)), counts)
         first = np.zeros(len(counts) + 1, dtype=np.int64)
         np.cumsum(counts, out=first[1:])
-        self.at = np.arange(first[-1]) + np.repeat(bounds[:-1] - first[:-1], counts)
-        if len(self.at):
-            runs, _ = window_hashes(self.words, np.array([0, len(self.words)]), anchor, SEED_ANCHOR)
-            self.anchors = sliding_min(runs, k - anchor + 1)[self.at].view(np.int64)
-        else:
-            self.anchors = np.zeros(0, np.int64)
-
-        change = np.ones(len(self.at), dtype=bool)
-        change[1:] = (self.anchors[1:] != self.anchors[:-1]) | (self.row[1:] != self.row[:-1])
-        #: Paths: first edges, and one past the last edges.
-        self.first = np.flatnonzero(change)
-        self.end = np.append(self.first[1:], len(self.at))
-
-    def hashes(self, at: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit names of runs of words, by start and length."""
+        at = np.arange(first[-1]) + np.repeat(self.bounds[:-1] - first[:-1], counts)
+        if not len(at):
+            return at, at, at, at
+        runs, _ = window_hashes(self.words, np.array([0, len(self.words)]), anchor, SEED_ANCHOR + self.attempt)
+        anchors = sliding_min(runs, k - anchor + 1)[at].view(np.int64)
+        change = np.ones(len(at), dtype=bool)
+        change[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(change)
+        return row[begin], at[begin], np.diff(np.append(begin, len(at))), anchors[begin]
+
+    def names(self, at: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of runs of words, by start and length: 64 bits and 32 bits, or fewer."""
         out = []
         with np.errstate(over="ignore"):
             for seed in (SEED_EDGE, SEED_CHECK):
-                sums, down = prefix_sums(self.words, seed)
+                sums, down = prefix_sums(self.words, seed + self.attempt)
                 out.append(mix64((sums[at + length] - sums[at]) * down[at] + np.asarray(length).astype(np.uint64)))
-        return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        low, high = min(self.bits, 64), max(self.bits - 64, 0)
+        c2 = (out[1] >> np.uint64(64 - high)).astype(np.uint32) if high else np.zeros(len(out[1]), np.uint32)
+        return (out[0] >> np.uint64(64 - low)).view(np.int64), c2.view(np.int32)
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _read(docs: DataFrame, id_col: str, text_col: str, attempt: int) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text, F.lit(attempt)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"), text.alias("text"))
 
 
-def _repeated_anchors(rows: DataFrame, k: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor, doc, mark) of all documents, and the anchors that two documents or more have."""
+def _units(live: DataFrame, k: int, anchor: int, attempt: int, bits: int) -> DataFrame:
+    """(anchor, n, c1, c2, doc, place) of all units; place: mark and first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                edges = Edges(part.column(2), k, anchor)
-                row, name = edges.row[edges.first], edges.anchors[edges.first]
-                yield pa.RecordBatch.from_arrays([pa.array(name), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["anchor", "doc", "mark"])
-
-    anchors = rows.where("doc IS NOT NULL AND text IS NOT NULL").transform(map_arrow, run, "anchor long, doc long, mark long")
-    seen = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    return anchors, materialize(seen.where("a < b").select("anchor"), "substring-anchors")
-
-
-PATH = "p1 long, p2 int, doc long, place long, n int, h1 array<long>, h2 array<int>"
-
-
-def _path_rows(part: pa.RecordBatch, edges: Edges, pick: np.ndarray, opened: bool) -> pa.RecordBatch:
-    """One row per picked path; opened: with the names of its edges."""
-    first, end = edges.first[pick], edges.end[pick]
-    n, row = end - first, edges.row[first]
-    p1, p2 = edges.hashes(edges.at[first], n + (edges.k - 1))
-    marks = np.asarray(part.column(1).fill_null(0))[row]
-    place = (marks << 32) | (edges.at[first] - edges.bounds[row])
-    cuts = np.zeros(len(n) + 1, dtype=np.int32)
-    np.cumsum(n if opened else np.zeros_like(n), out=cuts[1:])
-    each = np.arange(cuts[-1]) + np.repeat(first - cuts[:-1], n) if opened else np.zeros(0, np.int64)
-    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(h)) for h in edges.hashes(edges.at[each], edges.k)]
-    return pa.RecordBatch.from_arrays([pa.array(p1), pa.array(p2), part.column(0).take(pa.array(row)), pa.array(place), pa.array(n.astype(np.int32)), *lists], names=["p1", "p2", "doc", "place", "n", "h1", "h2"])
-
-
-class _Paths:
-    """All paths with a repeated anchor; each call makes them anew from the texts."""
-
-    def __init__(self, rows: DataFrame, k: int, anchor: int, most: int):
-        self.k, self.anchor = k, anchor
-        anchors, repeated = _repeated_anchors(rows, k, anchor)
-        self.live = rows.where("doc IS NOT NULL AND text IS NOT NULL")
-        self.known = None
-        if repeated.count() <= most:
-            self.known = rows.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy()))
-        else:
-            own = anchors.join(repeated.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(F.collect_set("anchor").alias("names"))
-            self.live = self.live.join(own.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "names")
-
-    def rows(self, opened: bool) -> DataFrame:
-        k, anchor, known = self.k, self.anchor, self.known
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    edges = Edges(part.column(2), k, anchor)
-                    if not len(edges.at):
-                        continue
-                    name = edges.anchors[edges.first]
-                    if known is not None:
-                        names = known.value
-                        hit = names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name if len(names) else np.zeros(len(name), bool)
-                    else:
-                        hit = np.zeros(len(name), dtype=bool)
-                        cut = np.searchsorted(edges.row[edges.first], np.arange(part.num_rows + 1))
-                        for i in range(part.num_rows):
-                            hit[cut[i] : cut[i + 1]] = np.isin(name[cut[i] : cut[i + 1]], np.asarray(part.column(3)[i].values))
-                    yield _path_rows(part, edges, np.flatnonzero(hit), opened)
-
-        return self.live.transform(map_arrow, run, PATH)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, most: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc, mark, start, n_words, source_doc, source_start): spans whose words smaller documents hold.
-
-    The source coordinates are those of the span's first path or edge.
-    """
-    paths = _Paths(_read(docs, id_col, text_col), k, anchor, most)
-    source = [F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last")]
-    seen = paths.rows(opened=False).groupBy("p1", "p2").agg(*source)
-    shared = materialize(seen.where("source < last").drop("last"), "substring-paths")
-    met = paths.rows(opened=True).join(shared.hint("shuffle_hash"), ["p1", "p2"], "left")
-    later = F.coalesce(F.col("doc") > F.col("source"), F.lit(False))
-    settled, opened = [F.when(later, F.col(c)).alias(c) for c in ("source", "source_place")], [F.when(~later, F.col(c)).alias(c) for c in ("h1", "h2")]
-    met = materialize(met.select("doc", "place", "n", *settled, *opened), "substring-met")
-
-    edges = met.where("source IS NULL").select("doc", "place", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "doc", (F.col("place") + F.col("i")).alias("place"))
-    seen = edges.groupBy("h1", "h2").agg(*source)
-    shared = materialize(seen.where("source < last").drop("last"), "substring-edges")
-    late = edges.join(shared.hint("shuffle_hash"), ["h1", "h2"]).where("doc > source").select("doc", "place", F.lit(1).alias("n"), "source", "source_place")
-
-    parts = met.where("source IS NOT NULL").select("doc", "place", "n", "source", "source_place").unionByName(late)
-    position = F.lit(0xFFFFFFFF)
-    parts = parts.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(position).alias("start"), "n", "source", F.col("source_place").bitwiseAND(position).alias("source_start"))
-    order = Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("start") + F.col("n")).over(order)
-    numbered = parts.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    numbered = numbered.withColumn("span", F.sum("new").over(Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc", "mark", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min_by("source", "start").alias("source_doc"), F.min_by("source_start", "start").alias("source_start"))
-    return merged.select("doc", "mark", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n_words"), "source_doc", "source_start")
-
-
-def verify_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """spans with a column same: whether the first k words equal those at the source's coordinates.
-
-    Texts are cut to the words that spans name where they are read; only these travel.
-    """
-    rows = _read(docs, id_col, text_col)
+                runs = Runs(part.column(2), attempt, bits)
+                row, at, n, anchors = runs.units(k, anchor)
+                c1, c2 = runs.names(at, n + (k - 1))
+                place = (np.asarray(part.column(1))[row] << 32) | (at - runs.bounds[row])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(n.astype(np.int32)), pa.array(c1), pa.array(c2), part.column(0).take(pa.array(row)), pa.array(place)], names=["anchor", "n", "c1", "c2", "doc", "place"])
+
+    return live.transform(map_arrow, run, "anchor long, n int, c1 long, c2 int, doc long, place long")
+
+
+def _edges(live: DataFrame, opened: DataFrame, k: int, attempt: int, bits: int) -> DataFrame:
+    """(n, c1, c2, doc, place): the edges of the opened units (doc, place, n), n being 1."""
+    mark, start = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    lists = opened.select("doc", mark.alias("mark"), F.struct(start.alias("start"), "n").alias("u")).groupBy("doc", "mark").agg(F.collect_set("u").alias("units"))
+    # Rows with one id and text are one text.
+    texts = live.join(lists.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "units")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = [words_of(t)[a : a + k] for t, a in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([" ".join(w) for w in words], pa.string())], names=[*part.schema.names[1:], "words"])
+                runs, lists = Runs(part.column(2), attempt, bits), part.column(3)
+                flat = lists.flatten()
+                first, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+                row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+                ends = np.cumsum(n)
+                inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+                row, start = np.repeat(row, n), np.repeat(first, n) + inside
+                c1, c2 = runs.names(runs.bounds[row] + start, k)
+                place = (np.asarray(part.column(1))[row] << 32) | start
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), np.int32)), pa.array(c1), pa.array(c2), part.column(0).take(pa.array(row)), pa.array(place)], names=["n", "c1", "c2", "doc", "place"])
+
+    return texts.transform(map_arrow, run, "n int, c1 long, c2 int, doc long, place long")
+
+
+NAME = ["layer", "n", "c1", "c2"]
+
 
-    places = spans.select("doc", "start").union(spans.select("source_doc", "source_start")).distinct()
-    named = rows.join(places.hint("shuffle_hash"), "doc").select("text", "start", "doc", "mark")
-    found = materialize(named.transform(map_arrow, cut, "start long, doc long, mark long, words string"), "substring-words")
-    mine = found.select("doc", "mark", "start", F.col("words").alias("own_words"))
-    theirs = found.groupBy(F.col("doc").alias("source_doc"), F.col("start").alias("source_start")).agg(F.collect_set("words").alias("source_words"))
-    met = spans.join(mine, ["doc", "mark", "start"]).join(theirs, ["source_doc", "source_start"])
-    return met.withColumn("same", F.array_contains("source_words", F.col("own_words"))).select(*spans.columns, "same")
+def _sources(units: DataFrame) -> DataFrame:
+    """(n, c1, c2, source, source_place) of the units that two documents or more have."""
+    least = F.min(F.struct("doc", "place")).alias("least")
+    seen = units.groupBy("n", "c1", "c2").agg(least, F.max("doc").alias("last")).where("least.doc < last")
+    return seen.select("n", "c1", "c2", F.col("least.doc").alias("source"), F.col("least.place").alias("source_place"))
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept): kept is the text's other words joined by one blank."""
-    own = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    rows = _read(docs, id_col, text_col)
-    met = rows.join(own.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "text", "spans")
+def compact(units: DataFrame) -> DataFrame:
+    """units: all occurrences (layer, n, c1, c2, doc, place, source, source_place).
+
+    (layer, n, c1, c2, length): the first unit of each maximal nonbranching path, and the path's edges.
+    """
+    text = Window.partitionBy("layer", "doc", F.shiftright("place", 32)).orderBy("place")
+    sides = units
+    for side, step, touches in (("next", F.lead, F.col("place") + F.col("n") == F.lead("place").over(text)), ("prev", F.lag, F.lag("place").over(text) + F.lag("n").over(text) == F.col("place"))):
+        for c in NAME[1:]:
+            sides = sides.withColumn(f"{side}_{c}", F.when(touches, step(c).over(text)))
+    ends = [f(f"{side}_{c}").alias(f"{f.__name__}_{side}_{c}") for side in ("next", "prev") for c in NAME[1:] for f in (F.min, F.max)]
+    known = [F.count(f"{side}_n").alias(f"n_{side}") for side in ("next", "prev")]
+    named = sides.groupBy(*NAME).agg(F.count("*").alias("all"), *known, *ends, F.min("source").alias("source"), F.min("source_place").alias("source_place"))
+    # Degree one: every occurrence has a neighbour there, and always the same.
+    one = lambda side: (F.col(f"n_{side}") == F.col("all")) & F.expr(" AND ".join(f"min_{side}_{c} = max_{side}_{c}" for c in NAME[1:]))
+    nodes = named.select(*NAME, "source", "source_place", one("next").alias("goes"), one("prev").alias("comes"), *[F.col(f"min_next_{c}").alias(f"to_{c}") for c in NAME[1:]])
+    nodes = materialize(nodes, "substring-nodes")
+    after = nodes.where("comes").select("layer", *[F.col(c).alias(f"to_{c}") for c in NAME[1:]], F.col("source").alias("s"), F.col("source_place").alias("p"))
+    links = nodes.where("goes").join(after, ["layer", *[f"to_{c}" for c in NAME[1:]]])
+    links = materialize(links.where("s = source AND p = source_place + n").select(*NAME, *[f"to_{c}" for c in NAME[1:]]), "substring-links")
+    inner = links.select("layer", *[F.col(f"to_{c}").alias(c) for c in NAME[1:]]).withColumn("inner", F.lit(True))
+    paths = nodes.select(*NAME).join(links, NAME, "left").join(inner, NAME, "left")
+    paths = materialize(paths.select(*NAME, F.col("n").cast("long").alias("length"), F.col("inner").isNull().alias("head"), *[f"to_{c}" for c in NAME[1:]]), "substring-jumps")
+    ended = paths.where("head AND to_n IS NULL").select(*NAME, "length")
+    open_ = paths.where("NOT head OR to_n IS NOT NULL")
+    done = [ended]
+    while not (left := open_.where("head")).isEmpty():
+        there = open_.select("layer", *[F.col(c).alias(f"to_{c}") for c in NAME[1:]], F.col("length").alias("more"), *[F.col(f"to_{c}").alias(f"far_{c}") for c in NAME[1:]])
+        jumped = open_.join(there, ["layer", *[f"to_{c}" for c in NAME[1:]]], "left")
+        far = [F.col(f"far_{c}").alias(f"to_{c}") for c in NAME[1:]]
+        open_ = materialize(jumped.select(*NAME, (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), "head", *far), "substring-jumps")
+        # Heads whose path is at its end are done; what is inside stays, for others to jump to.
+        done.append(open_.where("head AND to_n IS NULL").select(*NAME, "length"))
+        open_ = open_.where("NOT head OR to_n IS NOT NULL")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, attempt: int = 0, name_bits: int = NAME_BITS) -> DataFrame:
+    """(doc, mark, start, n_words, source_doc, source_mark, source_start): spans that smaller documents hold,
+    by names; dedup() verifies them. Spans of different sources may overlap."""
+    live = _read(docs, id_col, text_col, attempt).where("doc IS NOT NULL AND text IS NOT NULL")
+    units = materialize(_units(live, k, anchor, attempt, name_bits), "substring-units")
+    shared = units.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    units = materialize(units.join(shared.hint("shuffle_hash"), "anchor", "left_semi").drop("anchor"), "substring-shared")
+    whole = materialize(_sources(units), "substring-whole")
+    met = materialize(units.join(whole.hint("shuffle_hash"), ["n", "c1", "c2"], "left"), "substring-met")
+    opened = met.where("source IS NULL OR doc = source").select("doc", "place", "n")
+    edges = materialize(_edges(live, opened, k, attempt, name_bits), "substring-edges")
+    single = edges.join(materialize(_sources(edges), "substring-single").hint("shuffle_hash"), ["n", "c1", "c2"])
+
+    both = met.where("source IS NOT NULL").withColumn("layer", F.lit(0)).unionByName(single.withColumn("layer", F.lit(1)))
+    both = materialize(both.select(*NAME, "doc", "place", "source", "source_place"), "substring-both")
+    spans = both.where("doc > source").join(compact(both), NAME).select("doc", "place", "length", "source", "source_place")
+    word = F.lit(0xFFFFFFFF)
+    spans = spans.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(word).alias("start"), "length", "source", F.shiftright("source_place", 32).alias("source_mark"), F.col("source_place").bitwiseAND(word).alias("source_start"))
+    same = ["doc", "mark", "source", "source_mark", "shift"]
+    order = Window.partitionBy(*same).orderBy("start", "length")
+    reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spans.withColumn("shift", F.col("source_start") - F.col("start")).withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = cut.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy(*same, "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
+    return merged.select("doc", "mark", "start", (F.col("end") - F.col("start") + (k - 1)).alias("n_words"), F.col("source").alias("source_doc"), "source_mark", (F.col("start") + F.col("shift")).alias("source_start"))
+
+
+PROOF = "array<struct<start:bigint,n_words:bigint,words:binary>>"
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", attempt: int = 0) -> DataFrame:
+    """(id, mark, n_words, n_removed, kept, own, asked): kept is the text's other words joined by one blank.
+
+    own and asked: SHA-256 of the words of the document's spans, and of those that others have it as source of.
+    """
+    piece = F.struct("start", "n_words")
+    own = spans.groupBy("doc", "mark").agg(F.collect_set(piece).alias("own"))
+    source = spans.select(F.col("source_doc").alias("doc"), F.col("source_mark").alias("mark"), F.col("source_start").alias("start"), "n_words")
+    asked = source.groupBy("doc", "mark").agg(F.collect_set(piece).alias("asked"))
+    wanted = own.join(asked, ["doc", "mark"], "full")
+    met = _read(docs, id_col, text_col, attempt).join(wanted.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "mark", "text", "own", "asked")
+
+    def digests(words: list[str], pieces: list[dict] | None) -> list[dict]:
+        return [{**p, "words": hashlib.sha256(" ".join(words[p["start"] : p["start"] + p["n_words"]]).encode()).digest()} for p in pieces or ()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proof = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, gone, kept = [], [], []
-                for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept", "own", "asked")}
+                for text, own, asked in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     words = words_of(text)
-                    counts.append(len(words))
+                    out["own"].append(digests(words, own))
+                    out["asked"].append(digests(words, asked))
+                    out["n_words"].append(len(words))
                     if own:
                         keep = np.ones(len(words), dtype=bool)
                         for s in own:
                             keep[s["start"] : s["start"] + s["n_words"]] = False
                         words = [words[i] for i in np.flatnonzero(keep).tolist()]
-                    gone.append(counts[-1] - len(words))
-                    kept.append(" ".join(words))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
-
-    return met.transform(map_arrow, run, "id long, n_words long, n_removed long, kept string")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return remove_spans(docs, materialize(repeated_spans(docs, id_col, text_col), "substring-spans"), id_col, text_col)
+                    out["n_removed"].append(out["n_words"][-1] - len(words))
+                    out["kept"].append(" ".join(words))
+                types = [pa.int64(), pa.int64(), pa.string(), proof, proof]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]], names=["id", "mark", *out])
+
+    return met.transform(map_arrow, run, f"id long, mark long, n_words long, n_removed long, kept string, own {PROOF}, asked {PROOF}")
+
+
+def unproven(spans: DataFrame, removed: DataFrame) -> DataFrame:
+    """The sources whose words are not those of every span that names them."""
+    at = ["source_doc", "source_mark", "source_start", "n_words"]
+    mine = removed.select(F.col("id").alias("doc"), "mark", F.explode("own").alias("p")).select("doc", "mark", F.col("p.start").alias("start"), F.col("p.n_words").alias("n_words"), F.col("p.words").alias("words"))
+    found = spans.join(mine, ["doc", "mark", "start", "n_words"], "left").groupBy(*at).agg(F.min("words").alias("a"), F.max("words").alias("b"), F.count_if(F.col("words").isNull()).alias("lost"))
+    theirs = removed.select(F.col("id").alias("source_doc"), F.col("mark").alias("source_mark"), F.explode("asked").alias("p")).select("source_doc", "source_mark", F.col("p.start").alias("source_start"), F.col("p.n_words").alias("n_words"), F.col("p.words").alias("words"))
+    theirs = theirs.groupBy(*at).agg(F.min("words").alias("c"), F.max("words").alias("d"))
+    same = F.expr("lost = 0 AND a = b AND c = d AND a = c")
+    return found.join(theirs, at, "left").where(~F.coalesce(same, F.lit(False)))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, name_bits: int = NAME_BITS) -> DataFrame:
+    """(id, n_words, n_removed, kept), every removed span verified at its source's coordinates."""
+    for attempt in range(ATTEMPTS):
+        spans = materialize(repeated_spans(docs, id_col, text_col, k, anchor, attempt, min(NAME_BITS, name_bits << attempt)), "substring-spans")
+        removed = materialize(remove_spans(docs, spans, id_col, text_col, attempt), "substring-kept")
+        if unproven(spans, removed).isEmpty():
+            return removed.select("id", "n_words", "n_removed", "kept")
+    raise ArithmeticError(f"names of runs of words collided in {ATTEMPTS} attempts")
 
 
 def report(cleaned: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """URL filter: host and path rules, then a likelihood ratio of two character language models.
 
 Rules: the longest rule whose host is the URL's host or a parent domain of it, and whose path starts
-the URL's path, decides. Length counts host and path together; ties go to block.
+the URL's path, decides. Length counts host and path together; ties go to block. URLs meet rules by joins on
+host suffix and path prefix, so a list of any length is a table, not an expression.
 
 Other URLs go to the method. Two smoothed variable-order Markov models, one of rejected and one of
 accepted URLs, give each byte a probability from the longest contexts that the model has counts for:
@@ -62,14 +63,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; null if none does."""
-    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r))
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in reversed(ranked):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(v)).otherwise(verdict)
-    return name, verdict
+def match_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """urls: (at, host, path). (at, rule, said) of the URLs that a rule fits: the longest one's name and verdict.
+
+    Joins on equality alone: a URL meets rules through each suffix of its host that begins at a label, as
+    far as the longest rule's host, and each prefix of its path of a length that some rule has. Suffixes of
+    a host are read from its end, so a long one costs no more than the longest rule's host does.
+    """
+    if not rules:
+        return urls.select("at", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("said")).limit(0)
+    spark = urls.sparkSession
+    known = spark.createDataFrame([(v, h, p) for v, h, p in sorted(set(rules))], "said string, rule_host string, rule_path string")
+    longest, lengths = max(len(h) for _, h, _ in rules), sorted({len(p) for _, _, p in rules})
+    host, path = F.col("host"), F.col("path")
+    # The host's end, and what stands before each of its dots.
+    end = F.when(F.length(host) > longest, F.expr(f"right(host, {longest + 1})")).otherwise(F.concat(F.lit("."), host))
+    labels = F.split(end, r"\.")
+    suffix = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefix = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    some = urls.where((host != "") & (F.size(labels) > 1)).select("at", F.explode(suffix).alias("rule_host"), prefix.alias("prefixes"))
+    met = some.select("at", "rule_host", F.explode("prefixes").alias("rule_path")).join(known, ["rule_host", "rule_path"])
+    # Longest first; block before allow; then by name.
+    order = F.struct(-(F.length("rule_host") + F.length("rule_path")), (F.col("said") != "block"), F.col("rule_host"), F.col("rule_path"), F.col("said"))
+    best = met.groupBy("at").agg(F.min(order).alias("r"))
+    return best.select("at", F.concat("r.rule_host", "r.rule_path").alias("rule"), F.col("r.said").alias("said"))
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,29 +222,27 @@ def _bin(score: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", loss: float = LOSS, hot: int = HOT) -> DataFrame:
-    """(page_id, url, host, path, rule, verdict, score) for each row."""
+    """(page_id, url, host, path, rule, verdict, score, by) for each row; by: what decided, rule, model or none (no URL)."""
     url = F.col("url")
     host, path = split_url(url)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-
-    def ruled(rows: DataFrame) -> DataFrame:
-        split = rows.withColumn("host", host).withColumn("path", path)
-        return split.withColumn("rule", rule).withColumn("said", verdict)
-
     # Kept: at is another number in each run of a plan.
-    rows = materialize(pages.select(F.monotonically_increasing_id().alias("at"), F.col(url_col).alias("url"), F.col(id_col).alias("id")), "urls")
+    rows = pages.select(F.monotonically_increasing_id().alias("at"), F.col(url_col).alias("url"), F.col(id_col).alias("id"))
+    rows = materialize(rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))), "urls")
+    found = materialize(match_rules(rows.select("at", "host", "path"), rules), "url-rules")
+    ruled = materialize(rows.join(found, "at", "left"), "url-ruled")
     seed = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
     fold = F.crc32(url.cast("binary")) % 5 == 0
     blocked = F.coalesce(F.col("said") == "block", F.lit(False))
-    learned = ruled(rows).select("url", F.when(seed & ~fold, blocked.cast("int")).alias("cls"))
+    learned = ruled.select("url", F.when(seed & ~fold, blocked.cast("int")).alias("cls"))
     ratios = log_ratios(materialize(count(learned), f"url-grams-{ORDER}"))
     if ratios is None:
-        judged = ruled(rows).withColumn("score", F.lit(0.0)).withColumn("method", F.lit("allow"))
+        judged = ruled.withColumn("score", F.lit(0.0)).withColumn("method", F.lit("allow"))
     else:
-        scored = materialize(score(rows, materialize(ratios, "url-ratios"), hot), "url-scores")
-        first = calibrate(ruled(scored).where(seed & fold & ~blocked), loss)
-        judged = ruled(scored).withColumn("method", F.when(seed & (_bin(F.col("score")) >= first), "block").otherwise("allow"))
-    return judged.select(F.col("id").alias("page_id"), "url", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("said", "method").alias("verdict"), "score")
+        scored = materialize(score(ruled, materialize(ratios, "url-ratios"), hot), "url-scores")
+        first = calibrate(scored.where(seed & fold & ~blocked), loss)
+        judged = scored.withColumn("method", F.when(seed & (_bin(F.col("score")) >= first), "block").otherwise("allow"))
+    by = F.when(F.col("said").isNotNull(), "rule").when(seed, "model").otherwise("none")
+    return judged.select(F.col("id").alias("page_id"), "url", "host", "path", "rule", F.coalesce("said", "method").alias("verdict"), "score", by.alias("by"))
 
 
 #: The rules of the registered query.

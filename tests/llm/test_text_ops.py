@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratakv.llm import bpe, hilbert, langid, linededup, minhash, mixing, substring
 from stratakv.llm.common import WORD_PATTERN, words_of
+from stratakv.llm.prefix import sums_before
 from stratakv.llm.queries import tokenizer_path
 
 WORD = re.compile(WORD_PATTERN)
@@ -205,36 +206,84 @@ def targets_brute(sizes, most=3):
         full |= over
 
 
-def check_mix(docs, block):
-    slots, got = mixing.mix(docs, block=block)
-    got, slots = rows(got), rows(slots)
-    sizes = defaultdict(int)
+def points(n):
+    """Points of the schedule's slots, in whole numbers of any size."""
+    return [i * mixing.GOLDEN % (1 << mixing.POINT_BITS) for i in range(n)]
+
+
+def check_mix(docs, block, least=16):
+    """Targets, and a plain replay of the schedule over the shuffled documents, word by word."""
+    slots, got = mixing.mix(docs, block=block, least_slots=least)
+    got, slots = rows(got), sorted(rows(slots), key=lambda r: r["slot"])
+    sizes, streams = defaultdict(int), defaultdict(list)
     for r in got:
         sizes[r["source"]] += r["size"]
-    targets = targets_brute(sizes) if sum(sizes.values()) else {s: 0 for s in sizes}
-    taken = defaultdict(int)
+    targets = targets_brute(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    width = {s: max(1, min(block, int(targets[s] // least))) for s in names}
+    blocks = {s: -(-sizes[s] // width[s]) for s in names}
+    need = {s: int(targets[s] * blocks[s] / sizes[s] + 0.5) if sizes[s] else 0 for s in names}
+    total, edges, upto = sum(need.values()), [], 0
+    for s in names:
+        upto += need[s]
+        edges.append((upto << mixing.POINT_BITS) // max(total, 1))
+    for i, r in enumerate(sorted(got, key=lambda r: r["start"])):
+        streams[r["source"]] += [i] * r["size"]
+        r["no"] = i
+    taken, drawn, first, touched = Counter(), Counter(), {}, Counter()
+    for slot, u in enumerate(points(total)):
+        s = next(x for x, edge in zip(names, edges, strict=True) if u < edge)
+        r, b = divmod(drawn[s], blocks[s])
+        assert (slots[slot]["source"], slots[slot]["slot"], slots[slot]["rank"], slots[slot]["block_no"]) == (s, slot, drawn[s], b)
+        drawn[s] += 1
+        part = Counter(streams[s][b * width[s] : (b + 1) * width[s]]) if r < 3 else {}
+        assert slots[slot]["words"] == sum(part.values())
+        for no, n in part.items():
+            taken[no] += n
+            touched[no] += 1
+            first.setdefault(no, slot)
+    assert len(slots) == total
     for r in got:
         assert r["target"] == pytest.approx(targets[r["source"]], abs=1e-6)
         assert 0 <= r["taken"] <= 3 * r["size"]
-        taken[r["source"]] += r["taken"]
+        assert (r["taken"], r["first_slot"], r["n_slots"]) == (taken[r["no"]], first.get(r["no"]), touched[r["no"]])
+        assert sum(c["words"] for c in r["copies"]) == r["taken"]
     for s in sizes:
-        assert taken[s] == pytest.approx(targets[s], abs=1)
-    by = defaultdict(list)
-    for r in slots:
-        by[r["source"]].append((r["slot"], r["rank"]))
-    assert all([k for _, k in sorted(x)] == list(range(len(x))) for x in by.values())
+        assert abs(drawn[s] - need[s]) <= mixing.bound(total)
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - targets[s]) <= 5 * width[s]
     return got
 
 
-def test_mix_hits_targets(spark, sf):
+def test_mix_follows_the_schedule(spark, sf):
     docs = documents(spark, sf)
     for block in (16, 256):
         got = check_mix(docs, block)
         assert {r["doc_id"]: r["size"] for r in got} == {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs.collect()}
-    one, two = (sorted((r["doc_id"], r["taken"]) for r in rows(mixing.mix(docs)[1])) for _ in range(2))
+    one, two = (sorted((r["doc_id"], r["taken"], r["first_slot"] or -1) for r in rows(mixing.mix(docs)[1])) for _ in range(2))
     assert one == two
 
 
+def test_mix_comes_near_its_targets(spark, sf):
+    got = rows(mixing.mix(documents(spark, sf))[1])
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= max(5, 0.005 * t) for s, t in target.items())
+
+
+def test_the_step_decides_what_is_taken(spark, sf, monkeypatch):
+    """Another step gives another order; one that is no low-discrepancy step is refused."""
+    docs = documents(spark, sf)
+    one = {r["doc_id"]: r["first_slot"] for r in rows(mixing.mix(docs)[1])}
+    step = mixing.point
+    monkeypatch.setattr(mixing, "point", lambda slot: step(slot, int(2**0.5 * 2**47) | 1))
+    assert one != {r["doc_id"]: r["first_slot"] for r in rows(mixing.mix(docs)[1])}
+    monkeypatch.setattr(mixing, "point", lambda slot: step(slot, (1 << 47) + 1))
+    with pytest.raises(ArithmeticError):
+        mixing.mix(docs)
+
+
 def test_mix_spreads_sources_evenly(spark, sf):
     """Any stretch of the schedule holds each source near its share."""
     slots, _ = mixing.mix(documents(spark, sf), block=8)
@@ -246,25 +295,36 @@ def test_mix_spreads_sources_evenly(spark, sf):
             assert abs(part[s] - 500 * n / len(seq)) < 12
 
 
-def test_mix_on_odd_rows(odd, empty, spark):
+def test_points_of_far_slots(spark):
+    far = [0, 1, 2**15, 2**30 - 1, 2**33 + 5, 2**45 - 1]
+    df = spark.createDataFrame([(i,) for i in far], "i long").select("i", mixing.point(F.col("i")).alias("u"))
+    assert {r["i"]: r["u"] for r in df.collect()} == {i: i * mixing.GOLDEN % 2**48 for i in far}
+
+
+def test_sums_before(spark):
+    rng = random.Random(3)
+    data = [(g, p, rng.randrange(9)) for g in (1, 2) for p in rng.sample(range(400), 150)]
+    got = rows(sums_before(spark.createDataFrame(data, "g int, p long, x int"), ["g"], "p", "x", "before", width=4))
+    assert Counter((r["g"], r["p"], r["x"], r["before"]) for r in got) == Counter((g, p, x, sum(y for h, q, y in data if h == g and q < p)) for g, p, x in data)
+
+
+def test_mix_on_odd_rows(odd, empty, spark, tmp_path):
     got = check_mix(odd, 64)
     assert len(got) == odd.count()
-    mixed = mixing.mixed_rows(odd, block=64)
+    mixed = mixing.mixed_rows(odd, block=64, least_slots=16)
     assert mixed.columns == odd.columns
-    words = sum(len(words_of(r["text"])) for r in mixed.collect())
-    assert words == sum(r["taken"] for r in got)
+    mixed = mixed.collect()
+    assert sum(len(words_of(r["text"])) for r in mixed) == sum(r["taken"] for r in got)
+    order = [c["slot"] for r in got for c in r["copies"]]
+    assert len(mixed) == len(order)
+    first = {r["doc_id"]: r["first_slot"] for r in got if r["doc_id"] not in (2, None) and r["taken"]}
+    seen = list(dict.fromkeys(r["doc_id"] for r in mixed if r["doc_id"] in first))
+    assert [first[d] for d in seen] == sorted(first.values())
     assert mixing.mix(empty)[1].count() == 0
     assert mixing.mixed_rows(empty).count() == 0
     assert [r["taken"] for r in rows(mixing.mix(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string"))[1])] == [0]
 
 
-def test_schedule_length_is_enough():
-    assert mixing.schedule_length(1000, 1) > 1000
-    u = (np.arange(mixing.schedule_length(500, 5)) + 0.5) * mixing.GOLDEN % 1
-    for low in np.linspace(0, 0.99, 100):
-        assert ((u >= low) & (u < low + 0.01)).sum() >= 5
-
-
 # -- op5 ------------------------------------------------------------------------------------------
 
 
@@ -277,21 +337,32 @@ def test_curve_visits_neighbours(n, bits):
     assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for a, b in zip(cells, cells[1:], strict=False))
 
 
-def check_shards(docs, shards):
+def check_shards(docs, shards, dims=("source", "lang", "n_chars"), bits=4):
+    """Quanta by plain ranks, the curve's index, and runs of the ordered rows."""
     import zlib
 
-    got = rows(hilbert.shard(docs, ["source", "lang", "n_chars"], shards))
-    texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
-    by = defaultdict(list)
-    for r in got:
-        by[r["shard"]].append(r)
-    counts = [len(by[s]) for s in range(shards)]
+    got = rows(hilbert.shard(docs, list(dims), shards, bits))
+    data = [r.asDict() for r in docs.collect()]
+    n, side = len(data), 1 << bits
+    order = lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0)
+    quanta = []
+    for c in dims:
+        values = sorted((r[c] for r in data), key=order)
+        first = {}
+        for i, v in enumerate(values):
+            first.setdefault(v, i * side // n)
+        quanta.append([first[r[c]] if r[c] is not None else 0 for r in data])
+    text = [(r["text"] or "").encode() for r in data]
+    cells = [hilbert.curve_index([q[i] for q in quanta], bits) for i in range(n)]
+    names = [hashlib.md5(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()).hexdigest() for r in data]
+    ranked = sorted((cells[i], names[i], len(text[i]) + 1, zlib.crc32(text[i]), i) for i in range(n))
+    want = Counter()
+    for rank, (cell, _, size, crc, i) in enumerate(ranked):
+        s = rank * shards // n
+        want[data[i]["doc_id"], size, crc, cell, s, rank - -(-s * n // shards)] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in got) == want
+    counts = [sum(r["shard"] == s for r in got) for s in range(shards)]
     assert max(counts) - min(counts) <= 1
-    for s in by:
-        assert sorted(r["slot"] for r in by[s]) == list(range(len(by[s])))
-    ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
-    assert [r["curve"] for r in ordered] == sorted(r["curve"] for r in got)
     return got
 
 
@@ -310,6 +381,43 @@ def test_shards_on_odd_rows(odd, empty):
     assert hilbert.shard(empty, ["source", "lang", "n_chars"]).count() == 0
 
 
+def test_odd_dimensions(spark):
+    """NaN is null; nested columns order as text; very long values are cuts like others."""
+    data = [(i, "t", float("nan") if i % 3 == 0 else float(i), [i % 4], "x" * (i * 100)) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, a double, b array<int>, c string")
+    got = rows(hilbert.shard(df, ["a", "b", "c"], 4, 2))
+    assert sorted(Counter(r["shard"] for r in got).values()) == [10] * 4
+    assert {r["doc_id"]: r["q0"] for r in got} == {i: 0 if i % 3 == 0 else (14 + [j for j in range(40) if j % 3].index(i)) * 4 // 40 for i in range(40)}
+
+
+def test_files_are_pruned_on_every_dimension(spark, tmp_path):
+    """Files whose min-max range meets a predicate, of 64: on each of three dimensions, and on all of them."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    sources = [f"s{i:02}" for i in (rng.zipf(1.5, size=6000) % 20)]
+    data = [(i, f"text {i}", ["de", "en", "es", "fr"][i % 4], sources[i], int(x)) for i, x in enumerate(rng.lognormal(6, 1.5, size=6000))]
+    data += data[:3]
+    dims = ["source", "lang", "n_chars"]
+    hilbert.write(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path / "out"), dims, shards=16, file_rows=100)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in out.collect()) == Counter(data)
+    spans = []
+    for f in (tmp_path / "out").rglob("*.parquet"):
+        t = pq.read_table(f).select(dims).to_pydict()
+        spans.append({c: (min(t[c]), max(t[c])) for c in dims})
+    assert len(spans) == 64
+    meets = lambda f, c, lo, hi: f[c][0] <= hi and lo <= f[c][1]
+    shares = {"source": [], "lang": [], "n_chars": [], "all": []}
+    for _, _, lang, source, n in rng.permutation(np.array(data, dtype=object))[:60]:
+        tests = [("source", source, source), ("lang", lang, lang), ("n_chars", n * 0.9, n * 1.1)]
+        each = [[meets(f, *t) for f in spans] for t in tests]
+        for c, e in zip(dims, each, strict=True):
+            shares[c].append(np.mean(e))
+        shares["all"].append(np.mean(np.all(each, axis=0)))
+    assert {c: np.mean(v) < limit for (c, v), limit in zip(shares.items(), (0.65, 0.65, 0.5, 0.25), strict=True)} == dict.fromkeys(shares, True), {c: np.mean(v) for c, v in shares.items()}
+
+
 # -- op7 ------------------------------------------------------------------------------------------
 
 
@@ -488,20 +596,43 @@ def test_substring_dedup_matches_brute_force(spark, sf):
     assert span_rows(docs) == spans_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_substring_dedup_without_broadcast(spark, sf):
+def test_forged_names_are_caught(spark, sf):
+    """Names of 12 bits collide; verification finds it, and the next attempts give the right result."""
     docs = documents(spark, sf)
-    key = ["doc", "mark", "start", "n_words", "source_doc"]
-    spans = substring.repeated_spans(docs, most=0).select(key)
-    same = substring.repeated_spans(docs).select(key)
-    assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, same.collect()))
+    spans = substring.repeated_spans(docs, name_bits=12).cache()
+    assert not substring.unproven(spans, substring.remove_spans(docs, spans)).isEmpty()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring.report(substring.dedup(docs, name_bits=12))))
+    assert got == spans_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_substring_sources_hold_the_words(spark, sf):
     docs = documents(spark, sf)
-    spans = substring.repeated_spans(docs)
-    checked = rows(substring.verify_spans(docs, spans))
-    assert len(checked) == spans.count() > 0
-    assert all(r["same"] and r["source_doc"] < r["doc"] for r in checked)
+    texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
+    spans = rows(substring.repeated_spans(docs))
+    assert spans
+    for r in spans:
+        assert r["source_doc"] < r["doc"]
+        a, b = r["start"], r["source_start"]
+        assert texts[r["doc"]][a : a + r["n_words"]] == texts[r["source_doc"]][b : b + r["n_words"]]
+
+
+def test_nonbranching_paths_are_maximal(spark):
+    """A passage in three texts is one span of each later one; where one text leaves it the graph branches."""
+    passage = [f"p{i}" for i in range(700)]
+    texts = [(1, passage), (2, ["u"] * 3 + passage + ["v"]), (3, passage[:400] + [f"x{i}" for i in range(90)])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")
+    spans = sorted((r["doc"], r["start"], r["n_words"], r["source_doc"], r["source_start"]) for r in rows(substring.repeated_spans(df)))
+    assert spans == [(2, 3, 700, 1, 0), (3, 0, 400, 1, 0)]
+
+
+def test_paths_of_units(spark):
+    """compact() against a walk: units a..f in texts; d follows c always, but b's successors differ."""
+    texts = {1: "abcdef", 2: "abcdef", 3: "xbcde", 4: "abq", 5: "xq"}
+    data = [(0, 2, ord(c), 0, doc, 2 * i, 1, 100 * ord(c)) for doc, t in texts.items() for i, c in enumerate(t)]
+    # c, d, e follow one another in the source as well.
+    data = [(*r[:7], 2 * "abcdefxq".index(chr(r[2]))) for r in data]
+    df = spark.createDataFrame(data, "layer int, n int, c1 long, c2 int, doc long, place long, source long, source_place long")
+    assert {chr(r["c1"]): r["length"] for r in rows(substring.compact(df))} == {"a": 2, "b": 2, "c": 6, "f": 2, "x": 2, "q": 2}
 
 
 def test_substring_dedup_of_shifted_and_branching_passages(spark):

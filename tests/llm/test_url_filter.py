@@ -46,6 +46,28 @@ def test_rules(spark):
             assert r["verdict"] == verdict, url
 
 
+def test_many_rules_and_long_urls(spark):
+    """Thousands of random rules against a loop over all of them; hosts and paths of a million characters."""
+    rng = random.Random(4)
+    labels = ["a", "b", "cc", "d.e", "x"]
+    rules = [(rng.choice(["block", "allow"]), ".".join(rng.choices(labels, k=rng.randint(1, 4))), rng.choice(["", "/"]) + "/".join(rng.choices("pqrs", k=rng.randint(0, 5)))) for _ in range(3000)]
+    urls = [f"http://{'.'.join(rng.choices(labels, k=rng.randint(1, 6)))}/{'/'.join(rng.choices('pqrs', k=rng.randint(0, 7)))}" for _ in range(400)]
+    urls += ["http://" + "a." * 500_000 + "cc/p/q", "http://cc/p" + "/q" * 500_000, "http://" + "x" * 1_000_000, "http://a..cc/p", "http://.a/", "http:///p"]
+    df = spark.createDataFrame(list(enumerate(urls)), "at long, url string")
+    host, path = urlfilter.split_url(F.col("url"))
+    split = df.select("at", host.alias("host"), path.alias("path"))
+    got = {r["at"]: (r["rule"], r["said"]) for r in urlfilter.match_rules(split, rules).collect()}
+    for r in split.collect():
+        fits = [(-len(h + p), v != "block", h, p, v) for v, h, p in rules if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p) and r["host"]]
+        want = min(fits, default=None)
+        assert got.get(r["at"]) == (want and (want[2] + want[3], want[4])), (r["host"][:50], r["path"][:50])
+
+
+def test_equally_long_rules_block(spark):
+    df = spark.createDataFrame([(1, "http://ab.c/d")], "page_id long, url string")
+    assert judged(df, [("allow", "ab.c", "/d"), ("block", "ab.c", "/d")])[1]["verdict"] == "block"
+
+
 def test_empty_table_and_no_rules(spark):
     df = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None)], "page_id long, url string")
     assert judged(df.limit(0)) == {}
@@ -74,6 +96,7 @@ def test_the_query_covers_all_pages(spark, sf):
     got = QUERIES["op6_url_character_models"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert {r["verdict"] for r in got} <= {"allow", "block"}
+    assert all((r["by"] == "rule") == (r["rule"] is not None) for r in got)
 
 
 @pytest.mark.parametrize("hot", [0, 1000, urlfilter.HOT])

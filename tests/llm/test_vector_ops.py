@@ -172,9 +172,11 @@ def links_brute(rows):
     return {(i, n[i], find(i), find(i) == i) for i in n}
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_embedding_links_match_brute_force(spark, clustered, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bucket"), [(512, 16), (5, 1), (5, 0.001)])
+def test_embedding_links_match_brute_force(spark, clustered, monkeypatch, block, bucket):
+    """Also with buckets of many blocks, and with tables of two and of four rotations."""
     monkeypatch.setattr(crosspolytope, "BLOCK", block)
+    monkeypatch.setattr(crosspolytope, "BUCKET", bucket)
     rows = clustered + ODD
     got = crosspolytope.near_duplicates(frame(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -190,15 +192,49 @@ def test_embedding_links_of_few_rows(spark):
     assert got == {(5, 2, 3), (3, 2, 3), (9, 0, 9), (7, 1, 7), (8, 1, 7)}
 
 
-def test_rotation_keeps_lengths_and_buckets_meet():
+def test_tiny_and_huge_vectors_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, ((base + rng.normal(size=16) * 0.02) * size).tolist(), 1) for i, size in enumerate([1e-200] * 4 + [1e200] * 4 + [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in crosspolytope.near_duplicates(df).collect()} == {(i, 8, 0) for i in range(9)}
+
+
+def test_blocks_of_many_near_copies_at_large_d():
+    """Pairs at the threshold of 768 components, counted as plain products do; memory is bounded by strips."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=768)
+    data = crosspolytope.scaled(base + rng.normal(size=(600, 768)) * 0.15)
+    cls, part = np.arange(600), np.zeros(600, dtype=int)
+    keys = np.zeros((600, 1, 1), dtype=np.int64)
+    linked, a, b = crosspolytope.compare(0, 0, 0, cls, np.ones(600, dtype=int), part, keys, data)
+    u = data / np.linalg.norm(data, axis=1, keepdims=True)
+    close = (u @ u.T >= 0.98) & ~np.eye(600, dtype=bool)
+    assert 0 < close.sum() < 600 * 599
+    assert linked.tolist() == close.sum(axis=1).tolist()
+    label = np.arange(600)
+    while (new := np.minimum(label, np.where(close, label[None, :], 600).min(axis=1))).tolist() != label.tolist():
+        label = new
+    up = list(range(600))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert find(x) != find(y)
+        up[max(find(x), find(y))] = min(find(x), find(y))
+    assert [find(x) for x in range(600)] == label.tolist()
+
+
+@pytest.mark.parametrize("d", [24, 64, 768])
+def test_rotations_keep_lengths_and_rarely_miss(d):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(2000, 64))
-    assert np.allclose((crosspolytope.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
+    x = rng.normal(size=(3000, d))
+    if d == 64:
+        assert np.allclose((crosspolytope.hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
     r = rng.normal(size=x.shape)
     r -= (r * x).sum(axis=1, keepdims=True) / (x * x).sum(axis=1, keepdims=True) * x
     y = 0.98 * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(1 - 0.98**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-    met = np.zeros(len(x), dtype=bool)
-    for t in range(crosspolytope.TABLES):
-        a, b = crosspolytope.axes(x, t), crosspolytope.axes(y, t)
-        met |= (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
-    assert met.all()
+    agree = [(crosspolytope.axes(x, t)[:, :, None] == crosspolytope.axes(y, t)[:, None, :]).any(axis=(1, 2)).mean() for t in range(4)]
+    assert 1 - np.mean(agree) < crosspolytope.MISS
+    for depth in (1, 2):
+        a, b = crosspolytope.bucket_keys(x, depth), crosspolytope.bucket_keys(y, depth)
+        assert a.shape[1:] == (crosspolytope.tables(depth), 2**depth)
+        assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).all()
