@@ -1,9 +1,10 @@
 """A training corpus from raw documents, in five stages.
 
 Language ID drops documents whose language cannot be told; line dedup removes repeated three-line
-passages; near-dedup keeps one document of each group; mixing repeats and cuts each source's
-documents to its target; BPE encodes what is left. Each stage works on all rows of the one before
-and returns the columns of `documents`, but for the last, which returns the encodings' digests.
+passages, and documents that it has emptied go; near-dedup keeps one document of each group; mixing
+repeats and cuts each source's documents to its target, in the order of its schedule; BPE encodes what is
+left. Each stage works on all rows of the one before and returns the columns of `documents`, but for the
+last, which returns the encodings' digests.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratakv.llm import bpe, langid, linededup, minhash, mixing
-from stratakv.llm.common import materialize, table
+from stratakv.llm.common import WORD_PATTERN, owned, table
 from stratakv.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(docs).select(*docs.columns)
+    deduped = linededup.dedup_lines(docs)
+    emptied = (F.col("_n_removed") > 0) & ~F.col("text").rlike(WORD_PATTERN)
+    return deduped.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Tables of a stage's steps go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = owned(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
