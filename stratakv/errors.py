@@ -37,6 +37,10 @@ class ValueEmpty(StoreError):
     pass
 
 
+class DuplicateKey(StoreError):
+    """A batch without seq has several writes of one key, and nothing says which is the last."""
+
+
 class DatabaseShutdown(StoreError):
     """Kept for callers that catch it; shutdown() does nothing, so nothing raises it."""
 
@@ -58,4 +62,4 @@ class CompactionCommitFailure(StoreError):
 
 
 #: Reject reasons of bulk validation, as raised in strict mode.
-BY_REASON = {c.__name__: c for c in (KeyEmpty, KeyTooLarge, ValueEmpty, ValueTooLarge)}
+BY_REASON = {c.__name__: c for c in (KeyEmpty, KeyTooLarge, ValueEmpty, ValueTooLarge, DuplicateKey)}

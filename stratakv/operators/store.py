@@ -6,7 +6,7 @@ import enum
 import os
 import shutil
 import threading
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ from ..plans.sizing import files_for
 from ..schema import local_oplog
 from ..sources.manifest import Manifest, ManifestStore
 from ..sources.runs import RunCache, Written, read_runs, write_run, write_small_run
-from .compaction import CompactionPolicy, FullCompaction, merge_runs
-from .memtable import Memtable, Memtables
+from .buffers import Buffer, Buffers
+from .compaction import CompactionPolicy, FullCompaction, committed, merge_runs
 
 
 class SyncMode(enum.Enum):
@@ -34,8 +34,10 @@ class SyncMode(enum.Enum):
 @dataclass(frozen=True)
 class Options:
     wal_sync: SyncMode = SyncMode.FULL
+    #: The public defaults.
     wal_write_threshold: int = 250_000
     target_sstable_size_bytes: int = 256 << 20
+    compaction: CompactionPolicy = FullCompaction()
 
 
 @dataclass
@@ -43,10 +45,24 @@ class Metrics:
     """Counts of what this handle has done."""
 
     sst_flushes: int = 0
-    reads: int = 0
+    point_reads: int = 0
     writes: int = 0
     deletes: int = 0
     compacts: int = 0
+    rejected: int = 0
+    lazy_reads: list[Observation] = field(default_factory=list)
+
+    @property
+    def reads(self) -> int:
+        """Keys asked for, of batched lookups those whose result has been computed."""
+        waiting = []
+        for seen in self.lazy_reads:
+            if seen._jo.future().isCompleted():
+                self.point_reads += seen.get["n"]
+            else:
+                waiting.append(seen)
+        self.lazy_reads[:] = waiting
+        return self.point_reads
 
 
 class Builder:
@@ -67,6 +83,10 @@ class Builder:
         self.options = replace(self.options, target_sstable_size_bytes=n)
         return self
 
+    def compaction(self, policy: CompactionPolicy) -> Builder:
+        self.options = replace(self.options, compaction=policy)
+        return self
+
     def open(self, spark: SparkSession, path: str) -> KVStore:
         return KVStore(spark, path, self.options)
 
@@ -92,21 +112,33 @@ class KVStore:
             raise errors.DataDirMissing(path)
         self.spark, self.root, self.options = spark, os.path.abspath(path), options
         self.manifests = ManifestStore(self.root)
-        self.memtables = Memtables(os.path.join(self.root, "wal"), options.wal_sync is SyncMode.FULL, options.wal_write_threshold, options.target_sstable_size_bytes)
+        self.buffers = Buffers(os.path.join(self.root, "wal"), options.wal_sync is SyncMode.FULL)
         self.cache = RunCache(self.root)
         self.metrics = Metrics()
-        self.policy: CompactionPolicy = FullCompaction()
+        self.policy = options.compaction
         self._compacting = threading.Lock()
+        #: Held while a bulk write's files are not published yet; _state for moments only.
+        self._bulk = threading.Lock()
         self._state = threading.RLock()
 
     # -- single writes and reads --------------------------------------------------------------
 
+    def _room(self) -> Buffer:
+        """The buffer for the next write. A full one is sealed; while one waits sealed, a full one is NeedFlush."""
+        now = self.buffers.open
+        if now.writes < self.options.wal_write_threshold and now.size_bytes <= self.options.target_sstable_size_bytes:
+            return now
+        if self.buffers.sealed:
+            raise errors.NeedFlush
+        self.buffers.seal()
+        return self.buffers.open
+
     def set(self, key: bytes | str, value: bytes | str) -> None:
         key, value = _bytes(key), _bytes(value)
         check_key(key)
         check_value(value)
         with self._state:
-            self.memtables.write(key, value)
+            self._room().put(key, value)
             self.metrics.writes += 1
 
     def delete(self, key: bytes | str) -> None:
@@ -114,7 +146,7 @@ class KVStore:
         key = _bytes(key)
         check_key(key)
         with self._state:
-            self.memtables.write(key, None)
+            self._room().put(key, None)
             self.metrics.deletes += 1
 
     def get(self, key: bytes | str) -> bytes | None:
@@ -125,18 +157,18 @@ class KVStore:
         key = _bytes(key)
         check_key(key)
         with self._state:
-            known, value = self.memtables.find(key)
+            known, value = self.buffers.find(key)
             manifest = self.manifests.load()
             for run in manifest.runs if not known else ():
                 known, value = self.cache.find(run, key)
                 if known:
                     break
-        self.metrics.reads += 1
+        self.metrics.point_reads += 1
         return value
 
     def wal_sync(self) -> None:
         with self._state:
-            self.memtables.sync_logs()
+            self.buffers.sync_logs()
 
     def shutdown(self) -> None:
         """Nothing to do: all that was acknowledged can be read again."""
@@ -154,15 +186,20 @@ class KVStore:
     def apply_many(self, writes: DataFrame, on_reject: str = "raise", query: str | None = None, batch_id: int | None = None) -> DataFrame | None:
         """Store (key, value, deleted[, seq]) as one run, published at once or not at all.
 
-        Of several writes of a key the highest seq wins; without seq the last row does. on_reject:
-        'raise' fails the batch if a write breaks a size rule; 'route' stores the others and returns
-        those with a column reason. With query and batch_id a batch that was taken already is left.
+        Of several writes of a key the highest seq wins; without seq a key may occur once only, for rows
+        of a DataFrame have no order. on_reject: 'raise' fails the batch if a write breaks a size rule;
+        'route' stores the others and returns those with a column reason. With query and batch_id a batch
+        that was taken already is left.
+
+        Reads and single writes go on while files are written. The batch takes effect when its run is
+        published: it is newer than all single writes that came before that moment.
         """
         if query is not None and self.manifests.load().batches.get(query, -1) >= batch_id:
             return None
         rows = writes.withColumn("key", F.col("key").cast("binary")).withColumn("value", F.when(~F.col("deleted"), F.col("value").cast("binary")))
-        if "seq" not in writes.columns:
-            rows = rows.withColumn("seq", F.monotonically_increasing_id())
+        ordered = "seq" in writes.columns
+        if not ordered:
+            rows = rows.withColumn("seq", F.lit(0).cast("long"))
         rows = rows.select("key", "value", "deleted", "seq")
         if on_reject == "route":
             good, bad = split(rows)
@@ -171,12 +208,14 @@ class KVStore:
         counts = Observation()
         good = good.observe(counts, F.count(F.when(~F.col("deleted"), 1)).alias("w"), F.count(F.when(F.col("deleted"), 1)).alias("d"))
         try:
-            with self._state:
-                self._drain()
-                written = write_run(resolve.latest(good, "seq"), self.root, "run", self._files_of(good))
-                self._add_run(written, query, batch_id)
-                self.metrics.writes += counts.get["w"]
-                self.metrics.deletes += counts.get["d"]
+            newest = resolve.latest(good, "seq") if ordered else resolve.single(good, errors.DuplicateKey.__name__)
+            with self._bulk:
+                written = write_run(newest, self.root, "run", self._files_of(good))
+                with self._state:
+                    self._drain()
+                    self._add_run(written, query, batch_id)
+                    self.metrics.writes += counts.get["w"]
+                    self.metrics.deletes += counts.get["d"]
         except Exception as e:
             reason = next((r for r in errors.BY_REASON if f"rejected write: {r}" in str(e)), None)
             raise (errors.BY_REASON[reason]() if reason else e) from e
@@ -195,7 +234,7 @@ class KVStore:
     def _layers(self, lower: Bound, upper: Bound) -> tuple[DataFrame | None, bool, DataFrame | None]:
         """What is above the base, whether its keys are unique, and the base; None for no rows."""
         with self._state:
-            manifest, tables = self.manifests.load(), [t for t in reversed(self.memtables.tables()) if t.rows]
+            manifest, tables = self.manifests.load(), list(self.buffers.filled())
             local = [local_oplog(self.spark, t.rows).withColumn("run_id", F.lit(manifest.next_run_id + age).cast("long")) for age, t in enumerate(tables)]
         parts = [read_runs(self.spark, self.root, manifest.l0, lower, upper)] if manifest.l0 else []
         parts += [restrict(rows, lower, upper) for rows in local]
@@ -235,9 +274,14 @@ class KVStore:
         return self.scan(Included(prefix), Excluded(end) if end is not None else UNBOUNDED)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        """(key, value) for each row of keys; null for keys that are missing or deleted."""
-        self.metrics.reads += keys.count()
-        return keys.select("key").join(self._visible(keys=keys), "key", "left")
+        """(key, value) for each row of keys; null for keys that are missing or deleted.
+
+        They count as reads once the result has been computed.
+        """
+        seen = Observation()
+        found = keys.select("key").join(self._visible(keys=keys), "key", "left").observe(seen, F.count("*").alias("n"))
+        self.metrics.lazy_reads.append(seen)
+        return found
 
     def create_view(self, name: str) -> None:
         """A temporary SQL view of what a full scan sees now."""
@@ -251,17 +295,14 @@ class KVStore:
     # -- maintenance --------------------------------------------------------------------------
 
     def flush_oldest_memtable(self) -> None:
-        """Make a run of the frozen buffer, if there is one. Call it when a write raises NeedFlush."""
+        """Make a run of the sealed buffer, if there is one. Call it when a write raises NeedFlush."""
         with self._state:
-            if not self.memtables.frozen:
-                return
-            self._add_run(self._write_table(self.memtables.frozen[-1]))
-            # A crash before this line replays records that the run holds already: the same values.
-            self.memtables.drop_oldest()
-            self.metrics.sst_flushes += 1
+            if self.buffers.sealed:
+                self._flush(self.buffers.sealed[0])
+                self.metrics.sst_flushes += 1
 
     def compact(self) -> None:
-        """Merge all runs into the base. Scans and writes go on meanwhile."""
+        """Merge the runs that the policy names, by default all into the base. Scans and writes go on meanwhile."""
         if not self._compacting.acquire(blocking=False):
             raise errors.CompactionAlreadyRunning
         try:
@@ -269,26 +310,31 @@ class KVStore:
             if plan is None:
                 return
             output = merge_runs(self.spark, self.root, plan, self.options.target_sstable_size_bytes)
-            self.manifests.update(lambda m: self.policy.committed(m, plan, output))
+            self.manifests.update(lambda m: committed(m, plan, output))
             self.metrics.compacts += 1
         finally:
             self._compacting.release()
 
     def vacuum(self) -> list[str]:
-        """Remove run files that the current manifest does not name. Nothing else may be reading old ones."""
-        live = {r.path for r in self.manifests.load().runs}
-        runs = os.path.join(self.root, "runs")
-        gone = [n for n in (os.listdir(runs) if os.path.isdir(runs) else []) if n not in live]
-        for n in gone:
-            shutil.rmtree(os.path.join(runs, n))
+        """Remove run files that the current manifest does not name. Nothing else may be reading old ones.
+
+        Waits for bulk writes and compactions of this handle, whose files are not in a manifest yet.
+        """
+        with self._compacting, self._bulk, self._state:
+            live = {r.path for r in self.manifests.load().runs}
+            runs = os.path.join(self.root, "runs")
+            gone = [n for n in (os.listdir(runs) if os.path.isdir(runs) else []) if n not in live]
+            for n in gone:
+                shutil.rmtree(os.path.join(runs, n))
         return gone
 
-    def _write_table(self, table: Memtable) -> Written | None:
-        if not table.rows:
-            return None
-        done = write_small_run(table.rows, self.root)
-        self.cache.add(done.path, done.bytes, table.rows)
-        return done
+    def _flush(self, buffer: Buffer) -> None:
+        if len(buffer):
+            done = write_small_run(buffer.rows, self.root)
+            self.cache.add(done.path, done.bytes, buffer.rows)
+            self._add_run(done)
+        # A crash before this line replays records that the run holds already: the same values.
+        self.buffers.retire(buffer)
 
     def _add_run(self, written: Written | None, query: str | None = None, batch_id: int | None = None) -> None:
         def change(m: Manifest) -> Manifest:
@@ -302,8 +348,7 @@ class KVStore:
 
     def _drain(self) -> None:
         """Make runs of all buffers, oldest first, so that a bulk write is newer than they are."""
-        if self.memtables.active.rows:
-            self.memtables.freeze()
-        while self.memtables.frozen:
-            self._add_run(self._write_table(self.memtables.frozen[-1]))
-            self.memtables.drop_oldest()
+        if len(self.buffers.open):
+            self.buffers.seal()
+        for buffer in self.buffers.sealed:
+            self._flush(buffer)

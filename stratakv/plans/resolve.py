@@ -25,6 +25,19 @@ def latest(records: DataFrame, *newest_first: str) -> DataFrame:
     return records.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def latest_in_runs(records: DataFrame) -> DataFrame:
+    """One record a key and run: what each run holds after its flush. One shuffle for all runs."""
+    order = Window.partitionBy("run_id", "key").orderBy(F.desc("seq"))
+    return records.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
+def single(records: DataFrame, reason: str) -> DataFrame:
+    """records, one a key; the job fails with the reason if a key has several."""
+    counted = records.withColumn("_n", F.count("*").over(Window.partitionBy("key")))
+    key = F.when(F.col("_n") == 1, F.col("key")).otherwise(F.raise_error(F.lit(f"rejected write: {reason}")).cast("binary"))
+    return counted.withColumn("key", key).drop("_n")
+
+
 def visible(newest: DataFrame) -> DataFrame:
     """Drop tombstones. Goes after latest(), never before."""
     return newest.where(~F.col("deleted"))

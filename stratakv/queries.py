@@ -16,8 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.keys import composite_key, key_hex, signed_key, successor, unsigned_bytes, unsigned_key
+from .errors import NeedFlush
+from .functions.keys import composite_key, key_hex, signed_key, unsigned_bytes, unsigned_key
 from .functions.validate import reject_reason
+from .operators.compaction import TieredCompaction
 from .operators.store import Builder
 from .plans import resolve
 from .plans.bounds import UNBOUNDED, Bound, Excluded, Included
@@ -94,7 +96,6 @@ _range("scan_upper_excl_only", UNBOUNDED, Excluded(_k(40)), "user_id < 40")
 _range("scan_single_key", Included(_k(7)), Included(_k(7)), "user_id = 7")
 _range("scan_beyond_max", Included(_k(20)), Included(_k(10**9)), "user_id >= 20")
 _range("scan_empty_lower", Included(b""), Included(_k(60)), "user_id <= 60")
-_range("scan_prefix", Included(bytes(7)), Excluded(successor(bytes(7))), "user_id < 256")
 
 
 @_register("scan_inverted_bounds", _sql("SELECT count(*) AS n_rows FROM live WHERE user_id >= 50 AND user_id < 49"))
@@ -160,16 +161,12 @@ def latest_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("l0_flush_dedup", _sql("SELECT key_hex, value, deleted, seq, run_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key_hex ORDER BY seq DESC) AS nth FROM log) WHERE nth = 1"))
 def l0_flush_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each run holds after its flush: the newest record of each key, tombstones kept."""
-    log = oplog(spark, sf_dir)
-    runs = [resolve.latest(log.where(F.col("run_id") == r), "seq") for r in range(RUNS)]
-    return _versions(resolve.merge(runs))
+    return _versions(resolve.latest_in_runs(oplog(spark, sf_dir)))
 
 
 @_register("layered_merge_4_runs", _sql("SELECT key_hex, value FROM live"))
 def layered_merge_4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = oplog(spark, sf_dir)
-    runs = [resolve.latest(log.where(F.col("run_id") == r), "seq") for r in range(RUNS)]
-    return _shown(resolve.scan(resolve.merge(runs)))
+    return _shown(resolve.scan(resolve.latest_in_runs(oplog(spark, sf_dir))))
 
 
 @_register("orders_overlay", """
@@ -227,13 +224,27 @@ def wal_seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.sequence_gaps(oplog(spark, sf_dir).where("seq % 10 <> 3"))
 
 
-_REASON_SQL = """CASE WHEN text IS NULL OR octet_length(encode(text)) = 0 THEN 'ValueEmpty' WHEN octet_length(encode(text)) > 102400 THEN 'ValueTooLarge' ELSE 'accepted' END"""
+#: Writes that break each size rule, planted by the remainder of doc_id.
+_PLANTED_SQL = """SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' WHEN 2 THEN repeat('k', 10241) ELSE printf('%016x', doc_id) END AS k,
+  CASE doc_id % 10 WHEN 1 THEN '' WHEN 3 THEN repeat('v', 102401) WHEN 0 THEN '' ELSE coalesce(text, '') END AS v, doc_id % 10 = 4 AS deleted FROM documents"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.col("doc_id") % 10
+    key = F.when(by == 0, F.lit("")).when(by == 2, F.repeat(F.lit("k"), 10_241)).otherwise(F.lower(F.lpad(F.hex("doc_id"), 16, "0")))
+    value = F.when(by.isin(0, 1), F.lit("")).when(by == 3, F.repeat(F.lit("v"), 102_401)).otherwise(F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", key.cast("binary").alias("key"), value.cast("binary").alias("value"), (by == 4).alias("deleted"))
 
 
-@_register("validate_documents", f"SELECT {_REASON_SQL} AS reason, count(*) AS n_rows FROM documents GROUP BY 1")
+_REASON_SQL = f"""SELECT CASE WHEN octet_length(encode(k)) = 0 THEN 'KeyEmpty' WHEN octet_length(encode(k)) > 10240 THEN 'KeyTooLarge' WHEN deleted THEN 'accepted'
+  WHEN octet_length(encode(v)) = 0 THEN 'ValueEmpty' WHEN octet_length(encode(v)) > 102400 THEN 'ValueTooLarge' ELSE 'accepted' END AS reason, count(*) AS n_rows FROM ({_PLANTED_SQL}) GROUP BY 1"""
+
+
+@_register("validate_documents", _REASON_SQL)
 def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = reject_reason(unsigned_key(F.col("doc_id")), F.col("text").cast("binary"))
-    return _table(spark, sf_dir, "documents").groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_rows"))
+    """Size rules on documents as writes; every rule is broken by some."""
+    reason = reject_reason(F.col("key"), F.col("value"), F.col("deleted"))
+    return _planted(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_rows"))
 
 
 @_register("signed_key_order", "SELECT c_custkey - 700 AS id, printf('%016x', xor((c_custkey - 700)::BIGINT, -9223372036854775807 - 1)) AS key_hex, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer")
@@ -244,11 +255,14 @@ def signed_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nth(rows: DataFrame, by: str) -> DataFrame:
-    """Rank of each row in one global order: sorted partitions, then the partitions' offsets."""
-    from pyspark.sql import Window
-
-    laid = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
-    inside = laid.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
+    """Rank of each row in one global order: sorted partitions, then the partitions' offsets.
+
+    The partitioning is written out once, for its ranges come from a sample and both uses must see the same.
+    """
+    spark = rows.sparkSession
+    path = "file://" + os.path.join(scratch_dir(spark), "ranges")
+    rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    inside = spark.read.parquet(path).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
     counts = inside.groupBy("_part").agg(F.max("_in").alias("_n"))
     # One row a partition.
     starts = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -267,12 +281,6 @@ def composite_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(resolve.scan(rows, Included(_k(5) + _k(0)), Excluded(_k(6) + _k(2))))
 
 
-@_register("op_counts", _sql("SELECT run_id, sum(CASE WHEN deleted THEN 0 ELSE 1 END)::BIGINT AS writes, sum(CASE WHEN deleted THEN 1 ELSE 0 END)::BIGINT AS deletes FROM log GROUP BY run_id"))
-def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deleted = F.col("deleted").cast("long")
-    return oplog(spark, sf_dir).groupBy("run_id").agg(F.sum(1 - deleted).alias("writes"), F.sum(deleted).alias("deletes"))
-
-
 # -- queries that go through a store on disk ----------------------------------------------------
 
 
@@ -359,3 +367,118 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(log.drop("run_id").schema).option("maxFilesPerTrigger", 1).parquet("file://" + source)
     ingest(stream, store, "stream_ingest", "file://" + state, availableNow=True).awaitTermination()
     return _shown(store.scan())
+
+
+@_register("op_counts", _sql("SELECT run_id, sum(CASE WHEN deleted THEN 0 ELSE 1 END)::BIGINT AS writes, sum(CASE WHEN deleted THEN 1 ELSE 0 END)::BIGINT AS deletes FROM log GROUP BY run_id"))
+def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's own counters, after each band."""
+    store, log, counts = Builder().open(spark, scratch_dir(spark)), oplog(spark, sf_dir), []
+    for band in range(RUNS):
+        before = (store.metrics.writes, store.metrics.deletes)
+        store.apply_many(log.where(F.col("run_id") == band).drop("run_id"))
+        counts.append((band, store.metrics.writes - before[0], store.metrics.deletes - before[1]))
+    return spark.createDataFrame(counts, "run_id long, writes long, deletes long")
+
+
+def _store_range(name: str, lower: Bound, upper: Bound, test: str, compacted: bool) -> None:
+    @_register(name, _sql(f"SELECT key_hex, value FROM live WHERE {test}"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = _filled(spark, sf_dir)
+        if compacted:
+            store.compact()
+        return _shown(store.scan(lower, upper))
+
+
+_store_range("store_scan_bounded", Included(_k(20)), Excluded(_k(77)), "user_id >= 20 AND user_id < 77", compacted=False)
+_store_range("store_scan_bounded_base", Excluded(_k(20)), Included(_k(77)), "user_id > 20 AND user_id <= 77", compacted=True)
+
+
+def _store_get(name: str, sql: str, change: Callable) -> None:
+    @_register(name, _sql(f"SELECT n_nationkey::BIGINT AS id, ({sql}) AS value FROM nation"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = change(_filled(spark, sf_dir))
+        ids = [r["n_nationkey"] for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows at every scale
+        found = [(i, None if (v := store.get(_k(i))) is None else v.decode()) for i in ids]
+        return spark.createDataFrame(found, "id long, value string")
+
+
+def _compacted(store):
+    store.compact()
+    return store
+
+
+def _overwritten(store):
+    """Single writes over the runs: some in a run of their own, some in a buffer."""
+    store.compact()
+    for i in range(0, 25, 3):
+        store.set(_k(i), f"single{i}")
+    store.buffers.seal()
+    store.flush_oldest_memtable()
+    for i in range(0, 25, 4):
+        store.delete(_k(i))
+    return store
+
+
+_LIVE_VALUE = "SELECT value FROM live WHERE user_id = n_nationkey"
+_store_get("store_get_runs", _LIVE_VALUE, lambda store: store)
+_store_get("store_get_base", _LIVE_VALUE, _compacted)
+_store_get("store_get_layers", f"CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'single' || n_nationkey ELSE ({_LIVE_VALUE}) END", _overwritten)
+
+
+def _single_writes(spark: SparkSession, sf_dir: str, threshold: int):
+    """The names of nations set one by one, every fifth deleted again; buffers of threshold writes."""
+    store = Builder().wal_write_threshold(threshold).open(spark, scratch_dir(spark))
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows at every scale
+    writes = [(store.set, r["n_nationkey"], (r["n_name"],)) for r in rows] + [(store.delete, r["n_nationkey"], ()) for r in rows if r["n_nationkey"] % 5 == 0]
+    for write, i, value in writes:
+        try:
+            write(_k(i), *value)
+        except NeedFlush:
+            store.flush_oldest_memtable()
+            write(_k(i), *value)
+    return store
+
+
+_NATIONS_SQL = "SELECT printf('%016x', n_nationkey) AS key_hex, n_name AS value FROM nation WHERE n_nationkey % 5 <> 0"
+
+
+@_register("store_flush_then_scan", _NATIONS_SQL)
+def store_flush_then_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers of seven writes: flushed runs, a frozen buffer and an active one, in one scan."""
+    return _shown(_single_writes(spark, sf_dir, 7).scan())
+
+
+@_register("store_replay", _NATIONS_SQL)
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing but the log is on disk when the store is opened again."""
+    store = _single_writes(spark, sf_dir, 1000)
+    return _shown(Builder().open(spark, store.root).scan())
+
+
+@_register("validate_rejects", _REASON_SQL)
+def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What apply_many() routes away, by reason, and what it stores, tombstones included."""
+    store = Builder().open(spark, scratch_dir(spark))
+    bad = store.apply_many(_planted(spark, sf_dir).withColumnRenamed("doc_id", "seq"), on_reject="route")
+    stored = store.records().agg(F.count("*").alias("n_rows")).select(F.lit("accepted").alias("reason"), "n_rows")
+    return bad.groupBy("reason").agg(F.count("*").alias("n_rows")).unionByName(stored)
+
+
+@_register("scan_prefix", "SELECT printf('%016x', conv_id) || printf('%016x', turn) AS key_hex, text AS value FROM conversations WHERE conv_id = 5")
+def scan_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of one conversation, by the first half of their keys."""
+    store = Builder().open(spark, scratch_dir(spark))
+    rows = _table(spark, sf_dir, "conversations").where("octet_length(text) > 0")
+    store.put_many(rows.select(composite_key(unsigned_key(F.col("conv_id")), unsigned_key(F.col("turn"))).alias("key"), F.col("text").cast("binary").alias("value")))
+    return _shown(store.scan_prefix(_k(5)))
+
+
+@_register("tiered_compaction", _sql("SELECT key_hex, value FROM live"))
+def tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs merged above the base, then two more over them: answers stay."""
+    store = Builder().compaction(TieredCompaction(width=2, share=1)).open(spark, scratch_dir(spark))
+    log = oplog(spark, sf_dir)
+    for band in range(RUNS):
+        store.apply_many(log.where(F.col("run_id") == band).drop("run_id"))
+        store.compact()
+    return _shown(store.scan())

@@ -5,14 +5,17 @@ import random
 import threading
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from stratakv import Builder, Excluded, Included, SyncMode, errors, open_store
 from stratakv.functions.keys import signed_bytes, unsigned_bytes
-from stratakv.operators.memtable import Memtables
+from stratakv.operators.compaction import TieredCompaction, committed
 from stratakv.sources.manifest import Manifest, ManifestStore
+from stratakv.sources.runs import KeyFilter
 from stratakv.sources.wal import Log
+from stratakv.streaming.ingest import ingest, rejected
 
 
 def content(store, *bounds):
@@ -105,17 +108,18 @@ def test_need_flush_does_not_count(spark, tmp_path):
     assert content(store) == [(b"a", b"1"), (b"b", b"2"), (b"c", b"3")]
 
 
-def test_buffer_fills_by_size(tmp_path):
-    tables = Memtables(str(tmp_path), False, 1000, 1024)
-    tables.write(b"a", b"v" * 513)
-    tables.write(b"b", b"v" * 513)
-    assert tables.active_full()
-    assert not tables.needs_flush()
-    tables.write(b"c", b"v" * 513)
-    tables.write(b"d", b"v" * 513)
-    assert tables.needs_flush()
+def test_buffer_fills_by_size(spark, tmp_path):
+    store = Builder().target_sstable_size_bytes(1024).open(spark, str(tmp_path))
+    store.set("a", "v" * 513)
+    store.set("b", "v" * 513)
+    assert not store.buffers.sealed
+    store.set("c", "v" * 513)
+    assert len(store.buffers.sealed) == 1
+    store.set("c", "v" * 512)
+    store.set("d", "v" * 513)
     with pytest.raises(errors.NeedFlush):
-        tables.write(b"e", b"v")
+        store.set("e", "v")
+    assert store.buffers.open.size_bytes == 513 + 514
 
 
 def test_signed_scan(spark, tmp_path):
@@ -206,11 +210,11 @@ def test_runs_added_during_compaction_stay_newer(spark, tmp_path):
 
     output = merge_runs(spark, store.root, plan, 1 << 20)
     store.put_many(frame(spark, [(b"a", b"3")]))
-    store.manifests.update(lambda m: store.policy.committed(m, plan, output))
+    store.manifests.update(lambda m: committed(m, plan, output))
     assert content(store) == [(b"a", b"3"), (b"b", b"1")]
     assert len(store.manifests.load().l0) == 1
     with pytest.raises(errors.CompactionCommitFailure):
-        store.manifests.update(lambda m: store.policy.committed(m, plan, output))
+        store.manifests.update(lambda m: committed(m, plan, output))
 
 
 def test_one_compaction_at_a_time(spark, tmp_path):
@@ -295,14 +299,173 @@ def test_multi_get_prefix_and_view(spark, tmp_path):
     assert spark.sql("SELECT count(*) AS n FROM kv").first()["n"] == 3
 
 
-def test_point_lookup_reads_one_row_group(spark, tmp_path):
-    store = open_store(spark, str(tmp_path))
-    rows = spark.range(20_000).select(F.lpad(F.hex("id"), 16, "0").cast("binary").alias("key"), F.lit("v").cast("binary").alias("value"))
-    store.put_many(rows)
-    plan = store.scan(Included(b"0" * 16), Included(b"0" * 16))._jdf.queryExecution().executedPlan().toString()
+def wide(spark, n, value="v"):
+    return spark.range(n).select(F.lpad(F.hex("id"), 16, "0").cast("binary").alias("key"), F.lit(value).cast("binary").alias("value"))
+
+
+def files_read(df):
+    """Files that the plan's scans have listed."""
+    df.collect()
+    return len(df.inputFiles())
+
+
+def test_scans_name_the_files_of_their_range_only(spark, tmp_path):
+    """A compacted base of many files: bounds leave out files on the driver, and reach the reader."""
+    store = Builder().target_sstable_size_bytes(20_000).open(spark, str(tmp_path))
+    store.put_many(wide(spark, 20_000))
+    store.compact()
+    files = store.live_sstables()
+    assert files > 10
+    one = store.scan(Included(b"0" * 16), Included(b"0" * 16))
+    plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan
     assert "GreaterThanOrEqual(key" in plan
+    assert files_read(one) == 1
+    assert files_read(store.scan()) == files
+    assert 1 <= files_read(store.scan(Included(b"%016X" % 100), Excluded(b"%016X" % 300))) <= 3
     assert store.scan(Included(b"G")).count() == 0
+    assert files_read(store.scan_prefix(b"00000000000000")) < files
+
+
+def test_point_lookups_open_one_file_and_read_one_row_group(spark, tmp_path):
+    store = Builder().target_sstable_size_bytes(20_000).open(spark, str(tmp_path))
+    store.put_many(wide(spark, 20_000))
+    store.compact()
+    store.cache = type(store.cache)(store.root, largest=0)
+    key = b"%016X" % 777
+    assert store.get(key) == b"v"
+    assert (store.cache.opened, store.cache.groups) == (1, 1)
+    assert [store.get(b"%016X" % i) for i in (777, 778, 779)] == [b"v"] * 3
+    assert (store.cache.opened, store.cache.groups) == (1, 1)
+    # Keys between those of a file: nearly all are ruled out without a look at it.
+    assert all(store.get(b"%016X" % i + b"x") is None for i in range(500))
+    assert store.cache.ruled_out >= 450
+    assert store.cache.opened <= 3
+
+
+def test_key_filters():
+    keys = [b"k%d" % i for i in range(5000)]
+    made = KeyFilter.of(keys, len(keys))
+    assert all(made.may_hold(k) for k in keys)
+    assert sum(made.may_hold(b"x%d" % i) for i in range(5000)) < 150
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_flipped_byte_is_found(spark, tmp_path, small):
+    store = open_store(spark, str(tmp_path))
+    if small:
+        for i in range(200):
+            store.set(b"%04d" % i, b"value%d" % i)
+        store.buffers.seal()
+        store.flush_oldest_memtable()
+    else:
+        store.put_many(wide(spark, 200, "value"))
+    run = store.manifests.load().l0[0]
+    path = os.path.join(store.root, "runs", run.path)
+    name = next(f for f in os.listdir(path) if f.startswith("part-"))
+    column = pq.ParquetFile(os.path.join(path, name)).metadata.row_group(0).column(1)
+    data = bytearray(open(os.path.join(path, name), "rb").read())
+    first = column.dictionary_page_offset or column.data_page_offset
+    data[first + column.total_compressed_size - 3] ^= 0xFF
+    open(os.path.join(path, name), "wb").write(data)
+    for f in os.listdir(path):
+        if f.endswith(".crc"):
+            os.unlink(os.path.join(path, f))
+    again = open_store(spark, str(tmp_path))
+    key = b"%04d" % 7 if small else b"%016X" % 7
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        again.get(key)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt|Could not"):
+        again.scan().collect()
+
+
+def test_reads_and_writes_go_on_during_a_bulk_write(spark, tmp_path, monkeypatch):
+    """The bulk write takes effect when it is published, over the single writes made meanwhile."""
+    from stratakv.operators import store as module
+
+    store = open_store(spark, str(tmp_path))
+    store.set("a", "old")
+    writing, go = threading.Event(), threading.Event()
+    real = module.write_run
+
+    def slow(*args):
+        writing.set()
+        assert go.wait(60)
+        return real(*args)
+
+    monkeypatch.setattr(module, "write_run", slow)
+    bulk = threading.Thread(target=lambda: store.put_many(frame(spark, [(b"a", b"bulk"), (b"b", b"bulk")])))
+    bulk.start()
+    assert writing.wait(60)
+    assert store.get("a") == b"old"
+    store.set("a", "meanwhile")
+    store.set("c", "meanwhile")
+    assert store.get("a") == b"meanwhile"
+    assert content(store) == [(b"a", b"meanwhile"), (b"c", b"meanwhile")]
+    go.set()
+    bulk.join()
+    assert content(store) == [(b"a", b"bulk"), (b"b", b"bulk"), (b"c", b"meanwhile")]
+    assert content(open_store(spark, str(tmp_path))) == content(store)
+
+
+def test_repeated_keys_need_an_order(spark, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    with pytest.raises(errors.DuplicateKey):
+        store.put_many(frame(spark, [(b"a", b"1"), (b"b", b"1"), (b"a", b"2")]))
+    assert content(store) == []
+    store.put_many(frame(spark, [(b"a", b"1"), (b"b", b"1"), (b"a", b"2")]).withColumn("seq", F.expr("ascii(decode(value, 'UTF-8'))").cast("long")))
+    assert content(store) == [(b"a", b"2"), (b"b", b"1")]
+
+
+def test_batched_reads_count_once_computed(spark, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    store.put_many(frame(spark, [(b"a", b"1")]))
+    found = store.multi_get(frame(spark, [(b"a", b""), (b"b", b"")]).select("key"))
+    assert store.metrics.reads == 0
+    assert len(found.collect()) == 2
+    assert store.metrics.reads == 2
+    store.get("a")
+    assert store.metrics.reads == 3
+
+
+def test_tiers_are_merged_before_the_base(spark, tmp_path):
+    store = Builder().compaction(TieredCompaction(width=3, share=1)).open(spark, str(tmp_path))
+    store.put_many(frame(spark, [(b"%05d" % i, b"base") for i in range(2000)]))
+    store.policy = type(store.policy)(width=1)
+    store.compact()
+    store.policy = store.options.compaction
+    base = store.manifests.load().l1
+    model = {b"%05d" % i: b"base" for i in range(2000)}
+    for step in range(7):
+        rows = {b"%05d" % i: b"s%d" % step for i in range(step, 400, 7)}
+        store.put_many(frame(spark, list(rows.items())))
+        model |= rows
+        store.delete_many(frame(spark, [(b"%05d" % (step * 3), b"-")]).select("key"))
+        model.pop(b"%05d" % (step * 3), None)
+        store.compact()
+        m = store.manifests.load()
+        assert [r.run_id for r in m.l0] == sorted((r.run_id for r in m.l0), reverse=True)
+        assert content(store) == sorted(model.items())
+        assert store.get(b"%05d" % (step * 3)) is None
+    assert store.manifests.load().l1 == base
+    assert len(store.manifests.load().l0) <= 4
+    store.policy = TieredCompaction(width=1, share=1000)
+    store.compact()
+    assert store.manifests.load().l0 == ()
+    assert content(store) == sorted(model.items())
+
+
+def test_a_stream_keeps_what_it_rejects(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    store = open_store(spark, str(tmp_path / "data"))
+    rows = frame(spark, [(b"a", b"1"), (b"", b"1"), (b"b", b""), (b"c", b"2")]).withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(1).cast("long"))
+    rows.write.parquet(str(tmp_path / "in"))
+    assert rejected(store, "s").count() == 0
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ingest(stream, store, "s", str(tmp_path / "state"), availableNow=True).awaitTermination()
+    assert content(store) == [(b"a", b"1"), (b"c", b"2")]
+    assert sorted((bytes(r["key"]), r["reason"], r["batch_id"]) for r in rejected(store, "s").collect()) == [(b"", "KeyEmpty", 0), (b"b", "ValueEmpty", 0)]
+    assert store.metrics.rejected == 2
 
 
 def test_streaming_batches_are_taken_once(spark, tmp_path):
