@@ -43,8 +43,9 @@ from .vptree import scaled, usable
 
 LEAST = 0.98
 PROBES = 2
-#: Chance that a rotation misses a pair at the threshold, at most, and that all tables do.
-MISS, LOST = 0.06, 1e-9
+#: Chance that a rotation misses a pair at the threshold, at most, up to 1024 components; how much that grows
+#: with each doubling beyond; and the chance that all tables miss it.
+MISS, MORE, LOST = 0.06, 0.01, 1e-9
 #: Classes that a bucket of unlike vectors may hold, about; rotations of a table at most.
 BUCKET, MOST_DEPTH = 16, 4
 #: Most classes of a block, and rows of it that are compared at once with another block.
@@ -62,9 +63,10 @@ def depth_for(n: int, d: int) -> int:
     return depth
 
 
-def tables(depth: int) -> int:
-    """Tables that together lose a pair at the threshold with a chance of LOST at most."""
-    return int(np.ceil(np.log(LOST) / np.log(1 - (1 - MISS) ** depth)))
+def tables(depth: int, d: int) -> int:
+    """Tables that together lose a pair of length d at the threshold with a chance of LOST at most."""
+    miss = MISS + MORE * max(0.0, np.log2(d / 1024))
+    return int(np.ceil(np.log(LOST) / np.log(1 - (1 - miss) ** depth)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -91,11 +93,11 @@ def axes(vectors: np.ndarray, rotation: int, probes: int = PROBES) -> np.ndarray
     return np.concatenate([found, np.repeat(found[:, :1], probes - found.shape[1], axis=1)], axis=1)
 
 
-def bucket_keys(vectors: np.ndarray, depth: int, probes: int = PROBES) -> np.ndarray:
+def bucket_keys(vectors: np.ndarray, depth: int, n_tables: int, probes: int = PROBES) -> np.ndarray:
     """Rows x tables x probes ** depth: the buckets that each vector enters, table by table."""
     sides = 2 << max(0, int(vectors.shape[1] - 1).bit_length())
     out = []
-    for t in range(tables(depth)):
+    for t in range(n_tables):
         key = np.full((len(vectors), 1), t, dtype=np.int64)
         for r in range(depth):
             key = (key[:, :, None] * sides + axes(vectors, t * depth + r, probes)[:, None, :]).reshape(len(vectors), -1)
@@ -108,9 +110,9 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def bucket_rows(classes: DataFrame, depth: int, probes: int = PROBES) -> DataFrame:
+def bucket_rows(classes: DataFrame, depth: int, n_tables: int, probes: int = PROBES) -> DataFrame:
     """(cls, keys): a class's buckets, table by table."""
-    width = tables(depth) * probes**depth
+    width = n_tables * probes**depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +123,7 @@ def bucket_rows(classes: DataFrame, depth: int, probes: int = PROBES) -> DataFra
                 sizes = np.array([len(v) for v in vectors])
                 for d in np.unique(sizes).tolist():
                     of = np.flatnonzero(sizes == d)
-                    out[of] = bucket_keys(scaled(np.stack([vectors[i] for i in of])), depth, probes).reshape(len(of), -1)
+                    out[of] = bucket_keys(scaled(np.stack([vectors[i] for i in of])), depth, n_tables, probes).reshape(len(of), -1)
                 ends = np.arange(part.num_rows + 1, dtype=np.int32) * width
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["cls", "keys"])
 
@@ -191,9 +193,9 @@ def compare(i: int, j: int, key: int, cls: np.ndarray, copies: np.ndarray, part:
 
 def _compared(classes: DataFrame) -> DataFrame:
     """(cls, other, linked): other null: linked rows of a class; else a link."""
-    lengths = classes.groupBy(F.size("v").alias("d")).count().agg(F.max("count").alias("n"), F.max_by("d", "count").alias("d")).first()
+    lengths = classes.groupBy(F.size("v").alias("d")).count().agg(F.max("count").alias("n"), F.max_by("d", "count").alias("d"), F.max("d").alias("longest")).first()
     depth = depth_for(lengths["n"] or 0, lengths["d"] or 1)
-    coded = materialize(bucket_rows(classes, depth).join(classes.select("cls", "label", F.size("v").alias("d")), "cls"), "cp-keys")
+    coded = materialize(bucket_rows(classes, depth, tables(depth, lengths["longest"] or 1)).join(classes.select("cls", "label", F.size("v").alias("d")), "cls"), "cp-keys")
     key = ["label", "d", "key"]
     rows = coded.select("cls", "label", "d", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = materialize(rows.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "cp-buckets")

@@ -49,11 +49,20 @@ def test_run_equals_its_stages_on_reruns(spark, sf):
     assert one == two
 
 
-def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
-    """The whole pipeline; each stage's rows are checked one by one elsewhere."""
+def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path, monkeypatch):
+    """The whole pipeline, and the columns between its stages; their rows are checked one by one elsewhere."""
+    columns = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+
+        def seen(spark, docs, sf_dir, stage=stage):
+            columns.append(docs.columns)
+            return stage(spark, docs, sf_dir)
+
+        monkeypatch.setitem(corpus_pipeline.STAGES, i, (name, seen))
     for name, docs in (("odd", odd), ("empty", empty)):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert columns[-len(corpus_pipeline.STAGES) :] == [docs.columns] * len(corpus_pipeline.STAGES)
         assert (len(out) == 0) == (name == "empty")
         assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.collect()}
         assert all(r["n_tokens"] > 0 for r in out)
@@ -70,15 +79,6 @@ def test_steps_leave_no_tables(spark, sf):
     assert got.count() > 0
 
 
-def test_stages_take_odd_and_empty_tables(spark, odd, empty):
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, docs, "")
-            assert out.columns == docs.columns
-            out.count()
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
-
-
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_queries_match_their_sql(spark, sf, name):
     c = duckdb.connect()

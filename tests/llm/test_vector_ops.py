@@ -235,6 +235,7 @@ def test_rotations_keep_lengths_and_rarely_miss(d):
     agree = [(crosspolytope.axes(x, t)[:, :, None] == crosspolytope.axes(y, t)[:, None, :]).any(axis=(1, 2)).mean() for t in range(4)]
     assert 1 - np.mean(agree) < crosspolytope.MISS
     for depth in (1, 2):
-        a, b = crosspolytope.bucket_keys(x, depth), crosspolytope.bucket_keys(y, depth)
-        assert a.shape[1:] == (crosspolytope.tables(depth), 2**depth)
+        n = crosspolytope.tables(depth, d)
+        a, b = crosspolytope.bucket_keys(x, depth, n), crosspolytope.bucket_keys(y, depth, n)
+        assert a.shape[1:] == (n, 2**depth)
         assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).all()
