@@ -52,13 +52,15 @@ def test_run_equals_its_stages_on_reruns(spark, sf):
 def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path, monkeypatch):
     """The whole pipeline, and the columns between its stages; their rows are checked one by one elsewhere."""
     columns = []
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
 
-        def seen(spark, docs, sf_dir, stage=stage):
+    def watched(stage):
+        def seen(spark, docs, sf_dir):
             columns.append(docs.columns)
             return stage(spark, docs, sf_dir)
 
-        monkeypatch.setitem(corpus_pipeline.STAGES, i, (name, seen))
+        return seen
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(stage)) for name, stage in corpus_pipeline.STAGES])
     for name, docs in (("odd", odd), ("empty", empty)):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
