@@ -270,7 +270,7 @@ def nearest(trees: DataFrame, queries: DataFrame, k: int = 5, factor: float | No
     met = packs.select("d", "grp").distinct().join(trees.select("d", "shard"), "d")
     met = materialize(met.groupBy("d", "shard", "grp").count().drop("count"), "vp-met")
     none = F.lit(None).cast("binary")
-    chosen = materialize(trees.groupBy("d").agg(F.min("factor").alias("factor")), "vp-factors")
+    chosen = materialize(trees.groupBy("d").agg(F.coalesce(F.min("factor"), F.lit(FACTORS[0])).alias("factor")), "vp-factors")
     one = trees.drop("factor").join(met, ["d", "shard"]).join(chosen, "d").select("d", "shard", "grp", F.lit(0).alias("kind"), "factor", "n", "nodes", "spans", "ids", none.alias("marks"), "data")
     two = packs.join(met, ["d", "grp"]).select("d", "shard", "grp", F.lit(1).alias("kind"), F.lit(0.0).alias("factor"), F.lit(0).alias("n"), none.alias("nodes"), none.alias("spans"), "ids", "marks", "data")
     # The tree of a (length, shard, group) comes first, then its blocks, one at a time.
