@@ -5,11 +5,12 @@ or more. A rotation (three rounds of random signs and a fast Hadamard transform)
 nearest of the 2d signed axes. Multiprobe: a vector also takes its next nearest axes, `PROBES` in all.
 A table has `depth` rotations; a vector enters the buckets of all combinations of its axes there, and
 two vectors meet in a table if in each of its rotations any of their axes agree. The depth grows with
-the logarithm of the number of vectors, so that buckets of unlike vectors stay small.
+the logarithm of a label's vectors, as far as its buckets still hold `DENSE` unlike ones: smaller
+buckets cost more to handle than to compare.
 
-Recall: at cosine 0.98 a rotation misses a pair with a probability of about 0.026 at d = 64 and 0.05 at
-d = 1024 (`MISS`, measured by a test); `tables()` takes as many tables as leave a miss below `LOST` for a
-pair at the threshold, and far less above it.
+Recall: at cosine 0.98 a rotation misses a pair with a probability of about 0.026 at d = 64 and 0.057 at
+d = 1024 (`miss()` is above what a test measures); `tables()` takes as many tables as leave a miss below
+`LOST` for a pair at the threshold, and far less above it.
 
 Equal vectors of a label are one class, with a count; classes alone are hashed. In a bucket pairs
 are compared, never written out: a pair counts in the first of its common buckets only, which each task
@@ -43,11 +44,10 @@ from .vptree import scaled, usable
 
 LEAST = 0.98
 PROBES = 2
-#: Chance that a rotation misses a pair at the threshold, at most, up to 1024 components; how much that grows
-#: with each doubling beyond; and the chance that all tables miss it.
-MISS, MORE, LOST = 0.06, 0.01, 1e-9
-#: Classes that a bucket of unlike vectors may hold, about; rotations of a table at most.
-BUCKET, MOST_DEPTH = 16, 4
+#: Chance that all tables miss a pair at the threshold, at most.
+LOST = 1e-9
+#: Classes of unlike vectors that a bucket is to hold, about; rotations of a table at most.
+DENSE, MOST_DEPTH = 64, 4
 #: Most classes of a block, and rows of it that are compared at once with another block.
 BLOCK, STRIP = 2048, 256
 #: Far more than products of unit vectors are rounded by.
@@ -56,17 +56,21 @@ SEED = 91
 
 
 def depth_for(n: int, d: int) -> int:
-    """Rotations of a table, so that n unlike vectors of length d fall into buckets of about BUCKET."""
+    """Most rotations of a table with which n unlike vectors of length d still fill buckets with DENSE."""
     depth = 1
-    while depth < MOST_DEPTH and n > BUCKET * (2 * d) ** depth:
+    while depth < MOST_DEPTH and n * PROBES ** (depth + 1) >= DENSE * (2 * width(d)) ** (depth + 1):
         depth += 1
     return depth
 
 
+def miss(d: int) -> float:
+    """Chance that a rotation of vectors of length d misses a pair at the threshold, at most."""
+    return max(0.1 if d < 16 else 0.02, 0.0076 * float(np.log2(width(d))) - 0.017)
+
+
 def tables(depth: int, d: int) -> int:
     """Tables that together lose a pair of length d at the threshold with a chance of LOST at most."""
-    miss = MISS + MORE * max(0.0, np.log2(d / 1024))
-    return int(np.ceil(np.log(LOST) / np.log(1 - (1 - miss) ** depth)))
+    return int(np.ceil(np.log(LOST) / np.log(1 - (1 - miss(d)) ** depth)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -79,23 +83,26 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def width(d: int) -> int:
+    """Components of a rotation of vectors of length d; short ones are rotated among 16, for enough signs."""
+    return 1 << max(4, int(d - 1).bit_length())
+
+
 def axes(vectors: np.ndarray, rotation: int, probes: int = PROBES) -> np.ndarray:
     """Rows x probes: the signed axes nearest to the rotated vectors, nearest first."""
-    d = 1 << max(0, int(vectors.shape[1] - 1).bit_length())
+    d = width(vectors.shape[1])
     x = np.zeros((len(vectors), d))
     x[:, : vectors.shape[1]] = vectors
     for turn in range(3):
         signs = np.where(randoms(SEED + 7 * rotation + turn, d) >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
         x = hadamard(x * signs)
     near = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :probes]
-    found = 2 * near + (np.take_along_axis(x, near, 1) > 0)
-    # Short vectors have fewer axes than probes.
-    return np.concatenate([found, np.repeat(found[:, :1], probes - found.shape[1], axis=1)], axis=1)
+    return 2 * near + (np.take_along_axis(x, near, 1) > 0)
 
 
 def bucket_keys(vectors: np.ndarray, depth: int, n_tables: int, probes: int = PROBES) -> np.ndarray:
     """Rows x tables x probes ** depth: the buckets that each vector enters, table by table."""
-    sides = 2 << max(0, int(vectors.shape[1] - 1).bit_length())
+    sides = 2 * width(vectors.shape[1])
     out = []
     for t in range(n_tables):
         key = np.full((len(vectors), 1), t, dtype=np.int64)
@@ -112,19 +119,19 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 def bucket_rows(classes: DataFrame, depth: int, n_tables: int, probes: int = PROBES) -> DataFrame:
     """(cls, keys): a class's buckets, table by table."""
-    width = n_tables * probes**depth
+    n_keys = n_tables * probes**depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 vectors = _rows(part.column(1))
-                out = np.zeros((part.num_rows, width), dtype=np.int64)
+                out = np.zeros((part.num_rows, n_keys), dtype=np.int64)
                 sizes = np.array([len(v) for v in vectors])
                 for d in np.unique(sizes).tolist():
                     of = np.flatnonzero(sizes == d)
                     out[of] = bucket_keys(scaled(np.stack([vectors[i] for i in of])), depth, n_tables, probes).reshape(len(of), -1)
-                ends = np.arange(part.num_rows + 1, dtype=np.int32) * width
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * n_keys
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=["cls", "keys"])
 
     return classes.select("cls", "v").transform(map_arrow, run, "cls long, keys array<long>")
@@ -193,7 +200,7 @@ def compare(i: int, j: int, key: int, cls: np.ndarray, copies: np.ndarray, part:
 
 def _compared(classes: DataFrame) -> DataFrame:
     """(cls, other, linked): other null: linked rows of a class; else a link."""
-    lengths = classes.groupBy(F.size("v").alias("d")).count().agg(F.max("count").alias("n"), F.max_by("d", "count").alias("d"), F.max("d").alias("longest")).first()
+    lengths = classes.groupBy("label", F.size("v").alias("d")).count().agg(F.max("count").alias("n"), F.max_by("d", "count").alias("d"), F.max("d").alias("longest")).first()
     depth = depth_for(lengths["n"] or 0, lengths["d"] or 1)
     coded = materialize(bucket_rows(classes, depth, tables(depth, lengths["longest"] or 1)).join(classes.select("cls", "label", F.size("v").alias("d")), "cls"), "cp-keys")
     key = ["label", "d", "key"]
@@ -203,13 +210,13 @@ def _compared(classes: DataFrame) -> DataFrame:
     met = rows.join(sizes, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
     spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls")
     full = spread.join(classes.select("cls", "copies", "v"), "cls").join(coded.select("cls", "keys"), "cls")
-    group, width = [*key, "i", "j"], PROBES**depth
+    group, choices = [*key, "i", "j"], PROBES**depth
     dealt = full.repartition(*group).sortWithinPartitions(*group).select(*group, "part", "cls", "copies", "keys", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 5):
             cls, copies, part = (g.column(c).to_numpy() for c in ("cls", "copies", "part"))
-            keys = np.asarray(g.column("keys").combine_chunks().flatten()).reshape(len(cls), -1, width)
+            keys = np.asarray(g.column("keys").combine_chunks().flatten()).reshape(len(cls), -1, choices)
             data = scaled(np.asarray(g.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(cls), -1))
             own, i, j = (g.column(c)[0].as_py() for c in ("key", "i", "j"))
             linked, a, b = compare(i, j, own, cls, copies, part, keys, data)
@@ -222,10 +229,13 @@ def _compared(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of vectors."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Vectors travel as they are, floats as floats; all arithmetic is in double precision.
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    zero = F.lit(0.0).cast(kind)
     live = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
     # -0.0 and 0.0 are the same component.
-    live = live.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    live = live.withColumn("v", F.transform("v", lambda x: x + zero))
     named = live.select("id", "label", F.xxhash64(F.lit(1), "v").alias("f1"), F.xxhash64(F.lit(2), "v").alias("f2"), "v")
     named = materialize(named, "cp-rows")
     same = ["label", "f1", "f2"]
@@ -245,7 +255,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of_class = materialize(met.join(least, "component").select(*same, "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "cp-result")
     per_row = named.select("id", *same).distinct().join(of_class.hint("shuffle_hash"), same)
     valid = usable(F.col("v"))
-    hashed = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).select("id", F.when(valid, F.col("label")).alias("label"), F.xxhash64(F.lit(1), "v").alias("f1"), F.xxhash64(F.lit(2), "v").alias("f2"))
+    hashed = rows.withColumn("v", F.transform("v", lambda x: x + zero)).select("id", F.when(valid, F.col("label")).alias("label"), F.xxhash64(F.lit(1), "v").alias("f1"), F.xxhash64(F.lit(2), "v").alias("f2"))
     out = hashed.join(per_row, ["id", *same], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
