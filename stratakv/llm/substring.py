@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,8 @@ class Runs:
                 out.append(mix64((sums[at + length] - sums[at]) * down[at] + np.asarray(length).astype(np.uint64)))
         low, high = min(self.bits, 64), max(self.bits - 64, 0)
         c2 = (out[1] >> np.uint64(64 - high)).astype(np.uint32) if high else np.zeros(len(out[1]), np.uint32)
-        return (out[0] >> np.uint64(64 - low)).view(np.int64), c2.view(np.int32)
+        # However few the bits, names of runs of different lengths differ.
+        return (out[0] >> np.uint64(64 - low)).view(np.int64), (c2 ^ np.asarray(length).astype(np.uint32)).view(np.int32)
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, attempt: int) -> DataFrame:
@@ -123,7 +125,10 @@ def _units(live: DataFrame, k: int, anchor: int, attempt: int, bits: int) -> Dat
 
 
 def _edges(live: DataFrame, opened: DataFrame, k: int, attempt: int, bits: int) -> DataFrame:
-    """(n, c1, c2, doc, place): the edges of the opened units (doc, place, n), n being 1."""
+    """(n, c1, c2, doc, place): the edges of the opened units (doc, place, n); n is 1.
+
+    c2 has its top bit turned, so that an edge and a unit of one edge have names of their own.
+    """
     mark, start = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     lists = opened.select("doc", mark.alias("mark"), F.struct(start.alias("start"), "n").alias("u")).groupBy("doc", "mark").agg(F.collect_set("u").alias("units"))
     # Rows with one id and text are one text.
@@ -141,59 +146,58 @@ def _edges(live: DataFrame, opened: DataFrame, k: int, attempt: int, bits: int)
                 row, start = np.repeat(row, n), np.repeat(first, n) + inside
                 c1, c2 = runs.names(runs.bounds[row] + start, k)
                 place = (np.asarray(part.column(1))[row] << 32) | start
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), np.int32)), pa.array(c1), pa.array(c2), part.column(0).take(pa.array(row)), pa.array(place)], names=["n", "c1", "c2", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), np.int32)), pa.array(c1), pa.array(c2 ^ np.int32(-(1 << 31))), part.column(0).take(pa.array(row)), pa.array(place)], names=["n", "c1", "c2", "doc", "place"])
 
     return texts.transform(map_arrow, run, "n int, c1 long, c2 int, doc long, place long")
 
 
-NAME = ["layer", "n", "c1", "c2"]
+NAME = ["c1", "c2"]
 
 
-def _sources(units: DataFrame) -> DataFrame:
-    """(n, c1, c2, source, source_place) of the units that two documents or more have."""
-    least = F.min(F.struct("doc", "place")).alias("least")
-    seen = units.groupBy("n", "c1", "c2").agg(least, F.max("doc").alias("last")).where("least.doc < last")
-    return seen.select("n", "c1", "c2", F.col("least.doc").alias("source"), F.col("least.place").alias("source_place"))
+def _repeated(units: DataFrame) -> DataFrame:
+    """(c1, c2, source) of the units that two documents or more have."""
+    seen = units.groupBy(*NAME).agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
+    return seen.where("source < last").drop("last")
 
 
 def compact(units: DataFrame) -> DataFrame:
-    """units: all occurrences (layer, n, c1, c2, doc, place, source, source_place).
+    """units: all occurrences (layer, n, c1, c2, doc, place, source).
 
-    (layer, n, c1, c2, length): the first unit of each maximal nonbranching path, and the path's edges.
+    (c1, c2, length, source, source_place): the first unit of each maximal nonbranching path, the path's
+    edges, and where the source has it.
     """
     text = Window.partitionBy("layer", "doc", F.shiftright("place", 32)).orderBy("place")
     sides = units
     for side, step, touches in (("next", F.lead, F.col("place") + F.col("n") == F.lead("place").over(text)), ("prev", F.lag, F.lag("place").over(text) + F.lag("n").over(text) == F.col("place"))):
-        for c in NAME[1:]:
+        for c in NAME:
             sides = sides.withColumn(f"{side}_{c}", F.when(touches, step(c).over(text)))
-    ends = [f(f"{side}_{c}").alias(f"{f.__name__}_{side}_{c}") for side in ("next", "prev") for c in NAME[1:] for f in (F.min, F.max)]
-    known = [F.count(f"{side}_n").alias(f"n_{side}") for side in ("next", "prev")]
-    named = sides.groupBy(*NAME).agg(F.count("*").alias("all"), *known, *ends, F.min("source").alias("source"), F.min("source_place").alias("source_place"))
+    ends = [f(f"{side}_{c}").alias(f"{f.__name__}_{side}_{c}") for side in ("next", "prev") for c in NAME for f in (F.min, F.max)]
+    known = [F.count(f"{side}_c1").alias(f"n_{side}") for side in ("next", "prev")]
+    first = F.min(F.when(F.col("doc") == F.col("source"), F.col("place"))).alias("source_place")
+    named = sides.groupBy(*NAME).agg(F.count("*").alias("all"), *known, *ends, F.min("n").alias("n"), F.min("source").alias("source"), first)
     # Degree one: every occurrence has a neighbour there, and always the same.
-    one = lambda side: (F.col(f"n_{side}") == F.col("all")) & F.expr(" AND ".join(f"min_{side}_{c} = max_{side}_{c}" for c in NAME[1:]))
-    nodes = named.select(*NAME, "source", "source_place", one("next").alias("goes"), one("prev").alias("comes"), *[F.col(f"min_next_{c}").alias(f"to_{c}") for c in NAME[1:]])
+    one = lambda side: (F.col(f"n_{side}") == F.col("all")) & F.expr(" AND ".join(f"min_{side}_{c} = max_{side}_{c}" for c in NAME))
+    far = [f"to_{c}" for c in NAME]
+    nodes = named.select(*NAME, "n", "source", "source_place", one("next").alias("goes"), one("prev").alias("comes"), *[F.col(f"min_next_{c}").alias(f"to_{c}") for c in NAME])
     nodes = materialize(nodes, "substring-nodes")
-    after = nodes.where("comes").select("layer", *[F.col(c).alias(f"to_{c}") for c in NAME[1:]], F.col("source").alias("s"), F.col("source_place").alias("p"))
-    links = nodes.where("goes").join(after, ["layer", *[f"to_{c}" for c in NAME[1:]]])
-    links = materialize(links.where("s = source AND p = source_place + n").select(*NAME, *[f"to_{c}" for c in NAME[1:]]), "substring-links")
-    inner = links.select("layer", *[F.col(f"to_{c}").alias(c) for c in NAME[1:]]).withColumn("inner", F.lit(True))
-    paths = nodes.select(*NAME).join(links, NAME, "left").join(inner, NAME, "left")
-    paths = materialize(paths.select(*NAME, F.col("n").cast("long").alias("length"), F.col("inner").isNull().alias("head"), *[f"to_{c}" for c in NAME[1:]]), "substring-jumps")
-    ended = paths.where("head AND to_n IS NULL").select(*NAME, "length")
-    open_ = paths.where("NOT head OR to_n IS NOT NULL")
-    done = [ended]
-    while not (left := open_.where("head")).isEmpty():
-        there = open_.select("layer", *[F.col(c).alias(f"to_{c}") for c in NAME[1:]], F.col("length").alias("more"), *[F.col(f"to_{c}").alias(f"far_{c}") for c in NAME[1:]])
-        jumped = open_.join(there, ["layer", *[f"to_{c}" for c in NAME[1:]]], "left")
-        far = [F.col(f"far_{c}").alias(f"to_{c}") for c in NAME[1:]]
-        open_ = materialize(jumped.select(*NAME, (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), "head", *far), "substring-jumps")
-        # Heads whose path is at its end are done; what is inside stays, for others to jump to.
-        done.append(open_.where("head AND to_n IS NULL").select(*NAME, "length"))
-        open_ = open_.where("NOT head OR to_n IS NOT NULL")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    after = nodes.where("comes").select(*[F.col(c).alias(f"to_{c}") for c in NAME], F.col("source").alias("s"), F.col("source_place").alias("p"))
+    links = nodes.where("goes").join(after, far)
+    links = materialize(links.where("s = source AND p = source_place + n").select(*NAME, *far), "substring-links")
+    inner = links.select(*[F.col(f"to_{c}").alias(c) for c in NAME]).withColumn("inner", F.lit(True))
+    paths = nodes.select(*NAME, "n").join(links, NAME, "left").join(inner, NAME, "left")
+    paths = paths.select(*NAME, F.col("n").cast("long").alias("length"), F.col("inner").isNull().alias("head"), *far)
+    done, left = [], materialize(paths, "substring-jumps")
+    while True:
+        # Heads whose path is at its end are done; what is inside a path stays, for others to jump to.
+        done.append(left.where("head AND to_c1 IS NULL").select(*NAME, "length"))
+        left = left.where("NOT head OR to_c1 IS NOT NULL")
+        if left.where("head").isEmpty():
+            break
+        there = left.select(*[F.col(c).alias(f"to_{c}") for c in NAME], F.col("length").alias("more"), *[F.col(f"to_{c}").alias(f"far_{c}") for c in NAME])
+        jumped = left.join(there, far, "left")
+        left = materialize(jumped.select(*NAME, (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), "head", *[F.col(f"far_{c}").alias(f"to_{c}") for c in NAME]), "substring-jumps")
+    heads = reduce(DataFrame.unionByName, done)
+    return heads.join(nodes.select(*NAME, "source", "source_place"), NAME)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR, attempt: int = 0, name_bits: int = NAME_BITS) -> DataFrame:
@@ -203,15 +207,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = materialize(_units(live, k, anchor, attempt, name_bits), "substring-units")
     shared = units.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
     units = materialize(units.join(shared.hint("shuffle_hash"), "anchor", "left_semi").drop("anchor"), "substring-shared")
-    whole = materialize(_sources(units), "substring-whole")
-    met = materialize(units.join(whole.hint("shuffle_hash"), ["n", "c1", "c2"], "left"), "substring-met")
+    whole = materialize(_repeated(units), "substring-whole")
+    met = materialize(units.join(whole.hint("shuffle_hash"), NAME, "left"), "substring-met")
     opened = met.where("source IS NULL OR doc = source").select("doc", "place", "n")
     edges = materialize(_edges(live, opened, k, attempt, name_bits), "substring-edges")
-    single = edges.join(materialize(_sources(edges), "substring-single").hint("shuffle_hash"), ["n", "c1", "c2"])
+    single = edges.join(materialize(_repeated(edges), "substring-single").hint("shuffle_hash"), NAME)
 
     both = met.where("source IS NOT NULL").withColumn("layer", F.lit(0)).unionByName(single.withColumn("layer", F.lit(1)))
-    both = materialize(both.select(*NAME, "doc", "place", "source", "source_place"), "substring-both")
-    spans = both.where("doc > source").join(compact(both), NAME).select("doc", "place", "length", "source", "source_place")
+    both = materialize(both.select("layer", "n", *NAME, "doc", "place", "source"), "substring-both")
+    paths = materialize(compact(both), "substring-paths")
+    spans = both.where("doc > source").select(*NAME, "doc", "place").join(paths.hint("shuffle_hash"), NAME).select("doc", "place", "length", "source", "source_place")
     word = F.lit(0xFFFFFFFF)
     spans = spans.select("doc", F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(word).alias("start"), "length", "source", F.shiftright("source_place", 32).alias("source_mark"), F.col("source_place").bitwiseAND(word).alias("source_start"))
     same = ["doc", "mark", "source", "source_mark", "shift"]
