@@ -58,7 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if written is not None:
         written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() has written, where nothing will read it again."""
+    for t in tables:
+        delete(t.sparkSession, t._written_at)
 
 
 def owned(spark: SparkSession, label: str, work: Callable[[], DataFrame]) -> DataFrame:

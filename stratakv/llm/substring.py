@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
+from .common import discard, map_arrow, materialize, mix64, prefix_sums, slices, text_bytes, window_hashes, word_hashes, words_of
 
 K, ANCHOR = 50, 16
 NAME_BITS, ATTEMPTS = 96, 5
@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = _read(docs, id_col, text_col, attempt).where("doc IS NOT NULL AND text IS NOT NULL")
     units = materialize(_units(live, k, anchor, attempt, name_bits), "substring-units")
     shared = units.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    units = materialize(units.join(shared.hint("shuffle_hash"), "anchor", "left_semi").drop("anchor"), "substring-shared")
+    every, units = units, materialize(units.join(shared.hint("shuffle_hash"), "anchor", "left_semi").drop("anchor"), "substring-shared")
+    discard(every)
     whole = materialize(_repeated(units), "substring-whole")
     met = materialize(units.join(whole.hint("shuffle_hash"), NAME, "left"), "substring-met")
     opened = met.where("source IS NULL OR doc = source").select("doc", "place", "n")
@@ -215,6 +216,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     both = met.where("source IS NOT NULL").withColumn("layer", F.lit(0)).unionByName(single.withColumn("layer", F.lit(1)))
     both = materialize(both.select("layer", "n", *NAME, "doc", "place", "source"), "substring-both")
+    # Only the occurrences of repeated units are read from here on.
+    discard(edges, met, units)
     paths = materialize(compact(both), "substring-paths")
     spans = both.where("doc > source").select(*NAME, "doc", "place").join(paths.hint("shuffle_hash"), NAME).select("doc", "place", "length", "source", "source_place")
     word = F.lit(0xFFFFFFFF)
