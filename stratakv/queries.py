@@ -254,15 +254,16 @@ def signed_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nth(ids, "key").select("id", key_hex(F.col("key")).alias("key_hex"), "nth")
 
 
-def _nth(rows: DataFrame, by: str) -> DataFrame:
-    """Rank of each row in one global order: sorted partitions, then the partitions' offsets.
+def _nth(rows: DataFrame, *by: str) -> DataFrame:
+    """Rank of each row in one global order, nulls last: sorted partitions, then the partitions' offsets.
 
     The partitioning is written out once, for its ranges come from a sample and both uses must see the same.
     """
     spark = rows.sparkSession
+    order = [F.col(c).asc_nulls_last() for c in by]
     path = "file://" + os.path.join(scratch_dir(spark), "ranges")
-    rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    inside = spark.read.parquet(path).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    inside = spark.read.parquet(path).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = inside.groupBy("_part").agg(F.max("_in").alias("_n"))
     # One row a partition.
     starts = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -271,8 +272,9 @@ def _nth(rows: DataFrame, by: str) -> DataFrame:
 
 @_register("byte_order_urls", "SELECT page_id, hex(encode(url)) AS url_hex, row_number() OVER (ORDER BY encode(url)) AS nth FROM pages")
 def byte_order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls in byte order. The SQL leaves the order of equal urls open; here they are in that of page_id."""
     keys = _table(spark, sf_dir, "pages").select("page_id", F.col("url").cast("binary").alias("key"))
-    return _nth(keys, "key").select("page_id", F.hex("key").alias("url_hex"), "nth")
+    return _nth(keys, "key", "page_id").select("page_id", F.hex("key").alias("url_hex"), "nth")
 
 
 @_register("composite_key_scan", "SELECT printf('%016x', conv_id) || printf('%016x', turn) AS key_hex, text AS value FROM conversations WHERE conv_id = 5 OR (conv_id = 6 AND turn < 2)")
