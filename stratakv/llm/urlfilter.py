@@ -249,7 +249,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
 RULES: list[Rule] = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]

@@ -127,3 +127,23 @@ def test_scores_count_the_ngrams_themselves(spark, hot):
                     p = (full[cls][w[4 - n :]] + 2 * p) / (context[cls][n, w[4 - n : 4]] + 2)
                 want += math.log(p) if cls else -math.log(p)
         assert got[i]["score"] == pytest.approx(want / max(1, len((url or "").encode())), abs=1e-6), (i, url)
+
+
+def test_the_query_follows_the_contracts_list(spark, tmp_path):
+    """Each rule's own word, and that of the longest rule where two fit; written out, not read from the code."""
+    from stratakv.llm.queries import QUERIES
+
+    want = {
+        "http://com/en/": ("com/en/", "block"),
+        "http://a.example.com/en/6": ("com/en/", "block"),
+        "http://a.example.com/en/7": ("example.com/en/7", "allow"),
+        "http://x.net/de/": ("net/de/", "allow"),
+        "http://notexample.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"),
+        "HTTP://WWW.EXAMPLE.NET/de/81?x=1": ("example.net/de/8", "block"),
+        "http://x.org/es/": ("org/es/", "block"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in QUERIES["op6_url_character_models"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
